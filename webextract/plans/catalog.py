@@ -1,0 +1,25 @@
+"""The registered queries of the extraction engine, with the DuckDB SQL that each must equal."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def host_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages per host."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    host = F.regexp_extract("url", "^[a-zA-Z]+://([^/:?#]+)", 1)
+    return pages.groupBy(host.alias("host")).agg(F.count("*").alias("n_pages"))
+
+
+def queries() -> dict[str, Query]:
+    return {"host_report": host_report}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"host_report": "SELECT regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1) AS host, count(*) AS n_pages FROM pages GROUP BY 1"}
