@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webextract.llm import chat, mixing, simhash
+from webextract.llm import chat, mixing, paragraph_dedup, quality_classifier, quality_rules, simhash, token_output
+from webextract.llm.common import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,12 +29,43 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated_paragraphs(_table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_token_output(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
+    import public_tokenizers
+
+    out = Workspace(spark).path
+    token_output.write_ids(_table(spark, sf_dir, "documents"), out, public_tokenizers.path(tokenizer), public_tokenizers.PATTERN)
+    return token_output.read_ids(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_simhash_near_dedup, op8_source_mixing)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_chat_formatting,
+            op2_simhash_near_dedup,
+            op6_quality_rules,
+            op7_substring_dedup,
+            op8_source_mixing,
+            op9_quality_classifier,
+            op10_token_output,
+        )
+    }
 
 
 CHAT_SQL = r"""
