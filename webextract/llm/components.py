@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webextract.llm.common import cut
@@ -14,61 +14,68 @@ from webextract.llm.common import cut
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges: (a, b). Returns (id, root) for every id in edges, root being the least id of its component.
 
-    Each round every root hooks to the least root that it has an edge to, the hooks are followed twice, and the edges are contracted to
-    the new roots; they shrink until none is left. No step gathers a component or a root's edges in one task: the minima are partial
-    aggregates. The least id of a component never hooks, so it is the root at the end.
+    Each round every root hooks to the least root that it has an edge to, the hooks are followed once more, and the edges are contracted
+    to the new roots; they shrink until none is left. No step gathers a component or a root's edges in one task: the minima are partial
+    aggregates. The least id of a component never hooks, so it is the root at the end. The joins are merge joins, so that the many small
+    ones of late rounds leave nothing in the driver's memory.
     """
-    both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = cut(edges.select("a", "b").where("a <> b").distinct())
-    labels = cut(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("root", F.col("id")))
+    ids = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    levels: list[DataFrame] = []
     for _ in range(rounds):
         if edges.isEmpty():
-            return labels
-        hooks = cut(both(edges).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("old"), F.least("a", "m").alias("new")))
-        for _ in range(2):
-            nxt = hooks.select(F.col("old").alias("new"), F.col("new").alias("newer"))
-            hooks = cut(hooks.join(nxt, "new").select("old", F.col("newer").alias("new")))
-        labels = cut(labels.join(hooks, labels["root"] == hooks["old"], "left").select("id", F.coalesce("new", "root").alias("root")))
-        x, y = (hooks.select(F.col("old").alias(c), F.col("new").alias(f"{c}_new")) for c in "ab")
+            labels = ids.withColumn("root", F.col("id"))
+            for hooks in levels:
+                labels = labels.join(hooks.hint("merge"), labels["root"] == hooks["old"], "left").select("id", F.coalesce("new", "root").alias("root"))
+            return cut(labels)
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        once = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("old"), F.least("a", "m").alias("new")))
+        nxt = once.select(F.col("old").alias("new"), F.col("new").alias("newer"))
+        hooks = cut(once.join(nxt.hint("merge"), "new").select("old", F.col("newer").alias("new")))
+        levels.append(hooks)
+        x, y = (hooks.select(F.col("old").alias(c), F.col("new").alias(f"{c}_new")).hint("merge") for c in "ab")
         edges = cut(edges.join(x, "a").join(y, "b").select(F.least("a_new", "b_new").alias("a"), F.greatest("a_new", "b_new").alias("b")).where("a <> b").distinct())
     raise RuntimeError("the components did not settle")
 
 
-def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], large: int = 128, leaders: int = 3) -> DataFrame:
-    """Links (a, b) that join what all pairs within the buckets would join, if verify() keeps the pairs that are links.
+def _pairs(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(bucket, a, b) for members of x and of y in one bucket."""
+    return x.select("bucket", F.col("id").alias("a")).join(y.select("bucket", F.col("id").alias("b")).hint("merge"), "bucket")
+
+
+def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], large: int = 128, leaders: int = 3, work: int = 100) -> DataFrame:
+    """Links (a, b) that join what all pairs within the buckets would join, if verify() keeps the pairs (a < b) that are links.
 
     members: (bucket, id, weight). Buckets of up to `large` members give all their pairs. In a larger one the members are held against a
-    leader first, the heaviest one; those that link to it are together already, so only the others are held against the rest, with a few
-    more leaders before that. Pairs of members of one component are never needed, so no component is lost.
+    leader first, the heaviest one; those that link to it are together already, so only the others are held against the rest. Where that
+    would still be more than `work` pairs for each member, more leaders are taken, and pairs within a component found so far are left
+    out. Pairs of members of one component are never needed, so no component is lost.
     """
-    members = cut(members.select("bucket", "id", "weight").distinct())
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(members.join(sizes, "bucket"))
-    pair = lambda x, y: x.select("bucket", F.col("id").alias("a")).join(y.select("bucket", F.col("id").alias("b")), "bucket")
+    sizes = members.groupBy("bucket").agg(F.countDistinct("id").alias("n")).where("n > 1")
+    members = cut(members.select("bucket", "id", "weight").distinct().join(sizes.hint("merge"), "bucket"))
     few = members.where(F.col("n") <= large)
-    found = [cut(verify(pair(few, few).where("a < b").select("a", "b").distinct()))]
+    found = [cut(verify(_pairs(few, few).where("a < b").select("a", "b").distinct()))]
     rest = members.where(F.col("n") > large).select("bucket", "id", "weight")
     if rest.isEmpty():
         return found[0]
-    everyone = rest = cut(rest)
+    everyone = rest = cut(rest.withColumn("root", F.col("id")))
+    total = everyone.count()
     for _ in range(leaders):
-        heads = rest.groupBy("bucket").agg(F.max(F.struct("weight", F.col("id"))).alias("h")).select("bucket", F.col("h.id").alias("id"))
-        # Both ways round, so that a pair has one order.
-        star = pair(heads, everyone).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        heads = rest.groupBy("bucket").agg(F.max(F.struct("weight", "id")).alias("h")).select("bucket", F.col("h.id").alias("id"))
+        star = _pairs(heads, everyone).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found.append(cut(verify(star)))
-        roots = connected_components(reduce(DataFrame.union, found))
-        inside = everyone.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        everyone = cut(inside.select("bucket", "id", "weight", "root"))
-        main = everyone.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m")).select("bucket", F.col("m.root").alias("main"))
-        rest = cut(everyone.join(main, "bucket").where("root <> main").select("bucket", "id", "weight", "root"))
-        if rest.isEmpty():
+        roots = connected_components(reduce(DataFrame.union, found[1:]))
+        joined = everyone.drop("root").join(roots.hint("merge"), "id", "left")
+        everyone = cut(joined.select("bucket", "id", "weight", F.coalesce("root", "id").alias("root")))
+        groups = everyone.groupBy("bucket", "root").agg(F.count("*").alias("c"))
+        main = groups.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("n")).select("bucket", F.col("m.root").alias("main"), "n")
+        rest = cut(everyone.join(main.hint("merge"), "bucket").where("root <> main").select("bucket", "id", "weight", "root", "n"))
+        left = rest.agg(F.sum("n")).first()[0]
+        if not left or left <= work * total:
             break
-    left = (
-        rest.select("bucket", F.col("id").alias("x"), F.col("root").alias("rx"))
-        .join(everyone.select("bucket", F.col("id").alias("y"), F.col("root").alias("ry")), "bucket")
-        .where("rx <> ry")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-    )
-    found.append(cut(verify(left)))
+    if left:
+        x = rest.select("bucket", F.col("id").alias("x"), F.col("root").alias("rx"))
+        y = everyone.select("bucket", F.col("id").alias("y"), F.col("root").alias("ry"))
+        last = x.join(y.hint("merge"), "bucket").where("rx <> ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        found.append(cut(verify(last)))
     return reduce(DataFrame.union, found)
