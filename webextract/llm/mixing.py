@@ -63,7 +63,7 @@ def to_parts(weights: dict[str, float], period: int) -> dict[str, int]:
 
 
 def mix_sources(
-    docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = 0.5, block_rows: int = 32, period: int = 1000, bucket_rows: int = 20_000, max_sources: int = 10_000
+    docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = 0.5, block_rows: int = 32, period: int = 1000, bucket_rows: int = 2_000, max_sources: int = 10_000
 ) -> DataFrame:
     """docs: doc_id, source. Returns doc_id, source, block, slot, place (within the block) and balanced; (slot, place) is the order.
 
