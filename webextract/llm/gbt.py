@@ -47,6 +47,9 @@ def fit(
     monotone = np.zeros(m, dtype=int) if monotone is None else monotone
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(m)]
     binned = np.stack([np.searchsorted(cuts[j], x[:, j], side="left") for j in range(m)], axis=1)
+    offset = binned + np.arange(m) * bins
+    # A split after a feature's last cut isn't one.
+    idle = np.arange(bins - 1)[None, :] >= np.array([len(c) for c in cuts])[:, None]
     share = np.clip(np.average(y, weights=weight), 1e-4, 1 - 1e-4)
     bias = float(np.log(share / (1 - share)))
     raw, size = np.full(n, bias), 2 ** (depth + 1) - 1
@@ -62,33 +65,23 @@ def fit(
         value[t, 0] = best(grad.sum(), hess.sum(), 0)
         for level in range(depth):
             first, many = 2**level - 1, 2**level
-            here = (node >= first) & (node < first + many)
-            at = node[here] - first
-            gain, choice = np.zeros(many), np.full((many, 2), -1)
+            here = np.flatnonzero((node >= first) & (node < first + many))
             ids = np.arange(first, first + many)
-            for j in range(m):
-                k = len(cuts[j]) + 1
-                if k < 2:
-                    continue
-                cell = at * k + binned[here, j]
-                g, h, w = (np.bincount(cell, weights=v[here], minlength=many * k).reshape(many, k).cumsum(axis=1) for v in (grad, hess, weight))
-                gl, hl, wl = g[:, :-1], h[:, :-1], w[:, :-1]
-                gr, hr, wr = g[:, -1:] - gl, h[:, -1:] - hl, w[:, -1:] - wl
-                lo, hi = low[ids][:, None], high[ids][:, None]
-                vl, vr = np.clip(-gl / (hl + l2), lo, hi), np.clip(-gr / (hr + l2), lo, hi)
-                worth = lambda g, h, v: -(g * v + (h + l2) * v * v / 2)
-                whole = worth(g[:, -1], h[:, -1], value[t, ids])[:, None]
-                won = worth(gl, hl, vl) + worth(gr, hr, vr) - whole
-                won[(wl < least) | (wr < least) | (monotone[j] * (vr - vl) < 0)] = -np.inf
-                top = won.argmax(axis=1)
-                better = won[np.arange(many), top] > gain + 1e-9
-                gain[better] = won[np.arange(many), top][better]
-                choice[better] = np.stack([np.full(many, j), top], axis=1)[better]
-            for i in np.flatnonzero(choice[:, 0] >= 0):
-                k, (j, c) = first + i, choice[i]
+            cell = ((node[here] - first)[:, None] * (m * bins) + offset[here]).ravel()
+            g, h, w = (np.bincount(cell, weights=np.repeat(v[here], m), minlength=many * m * bins).reshape(many, m, bins).cumsum(axis=2) for v in (grad, hess, weight))
+            gl, hl, wl = g[:, :, :-1], h[:, :, :-1], w[:, :, :-1]
+            gr, hr, wr = g[:, :, -1:] - gl, h[:, :, -1:] - hl, w[:, :, -1:] - wl
+            lo, hi = low[ids][:, None, None], high[ids][:, None, None]
+            vl, vr = np.clip(-gl / (hl + l2), lo, hi), np.clip(-gr / (hr + l2), lo, hi)
+            worth = lambda g, h, v: -(g * v + (h + l2) * v * v / 2)
+            won = worth(gl, hl, vl) + worth(gr, hr, vr) - worth(g[:, :, -1], h[:, :, -1], value[t, ids][:, None])[:, :, None]
+            won[(wl < least) | (wr < least) | (monotone[:, None] * (vr - vl) < 0) | idle] = -np.inf
+            top = won.reshape(many, -1).argmax(axis=1)
+            for i in np.flatnonzero(won.reshape(many, -1)[np.arange(many), top] > 1e-9):
+                k, (j, c) = first + i, divmod(int(top[i]), bins - 1)
                 a, b = 2 * k + 1, 2 * k + 2
                 feature[t, k], threshold[t, k], left[t, k], right[t, k] = j, cuts[j][c], a, b
-                mine = here & (node == k)
+                mine = node == k
                 goes = mine & (binned[:, j] <= c)
                 low[a], high[a], low[b], high[b] = low[k], high[k], low[k], high[k]
                 value[t, a] = best(grad[goes].sum(), hess[goes].sum(), a)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webextract.llm import chat, katz, mixing, paragraph_dedup, quality_classifier, quality_rules, simhash, token_output
+from webextract.llm import chat, decontaminate, html_main, katz, mixing, paragraph_dedup, quality_classifier, quality_rules, simhash, token_output
 from webextract.llm.common import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,10 +29,18 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(_table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -63,7 +71,9 @@ def queries() -> dict[str, Query]:
         for f in (
             op1_chat_formatting,
             op2_simhash_near_dedup,
+            op3_html_extraction,
             op4_lm_scoring,
+            op5_decontamination,
             op6_quality_rules,
             op7_substring_dedup,
             op8_source_mixing,
