@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webextract.llm.common import cut
+from webextract.llm.common import Workspace, cut
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -43,23 +43,28 @@ def _pairs(x: DataFrame, y: DataFrame) -> DataFrame:
     return x.select("bucket", F.col("id").alias("a")).join(y.select("bucket", F.col("id").alias("b")).hint("merge"), "bucket")
 
 
-def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], large: int = 128, leaders: int = 3, work: int = 100) -> DataFrame:
+def collisions(members: DataFrame, space: Workspace, name: str = "collisions") -> DataFrame:
+    """members: (bucket, id). Returns (bucket, id, n), n being the different ids of the bucket, for buckets with two or more."""
+    dealt = members.select("bucket", "id").repartition("bucket").distinct()  # one exchange serves all of this
+    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    return space.save(dealt.join(sizes.hint("merge"), "bucket").select("bucket", "id", "n"), name)
+
+
+def bucket_links(met: DataFrame, weights: DataFrame, verify: Callable[[DataFrame], DataFrame], large: int = 128, leaders: int = 3, work: int = 100) -> DataFrame:
     """Links (a, b) that join what all pairs within the buckets would join, if verify() keeps the pairs (a < b) that are links.
 
-    members: (bucket, id, weight). Buckets of up to `large` members give all their pairs. In a larger one the members are held against a
-    leader first, the heaviest one; those that link to it are together already, so only the others are held against the rest. Where that
-    would still be more than `work` pairs for each member, more leaders are taken, and pairs within a component found so far are left
-    out. Pairs of members of one component are never needed, so no component is lost.
+    met: (bucket, id, n) from collisions(); weights: (id, weight). Buckets of up to `large` members give all their pairs. In a larger one
+    the members are held against a leader first, the heaviest one; those that link to it are together already, so only the others are held
+    against the rest. Where that would still be more than `work` pairs for each member, more leaders are taken, and pairs within a
+    component found so far are left out. Pairs of members of one component are never needed, so no component is lost.
     """
-    sizes = members.groupBy("bucket").agg(F.countDistinct("id").alias("n")).where("n > 1")
-    members = cut(members.select("bucket", "id", "weight").distinct().join(sizes.hint("merge"), "bucket"))
-    few = members.where(F.col("n") <= large)
+    few = met.where(F.col("n") <= large)
     found = [cut(verify(_pairs(few, few).where("a < b").select("a", "b").distinct()))]
-    rest = members.where(F.col("n") > large).select("bucket", "id", "weight")
+    rest = met.where(F.col("n") > large).select("bucket", "id")
     if rest.isEmpty():
         return found[0]
-    everyone = rest = cut(rest.withColumn("root", F.col("id")))
-    total = everyone.count()
+    everyone = rest = cut(rest.join(weights.hint("merge"), "id").select("bucket", "id", "weight", F.col("id").alias("root")))
+    total, left = everyone.count(), 0
     for _ in range(leaders):
         heads = rest.groupBy("bucket").agg(F.max(F.struct("weight", "id")).alias("h")).select("bucket", F.col("h.id").alias("id"))
         star = _pairs(heads, everyone).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -70,8 +75,8 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], l
         groups = everyone.groupBy("bucket", "root").agg(F.count("*").alias("c"))
         main = groups.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("n")).select("bucket", F.col("m.root").alias("main"), "n")
         rest = cut(everyone.join(main.hint("merge"), "bucket").where("root <> main").select("bucket", "id", "weight", "root", "n"))
-        left = rest.agg(F.sum("n")).first()[0]
-        if not left or left <= work * total:
+        left = rest.agg(F.sum("n")).first()[0] or 0
+        if left <= work * total:
             break
     if left:
         x = rest.select("bucket", F.col("id").alias("x"), F.col("root").alias("rx"))

@@ -62,17 +62,24 @@ def to_parts(weights: dict[str, float], period: int) -> dict[str, int]:
     return parts
 
 
+def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = 0.5, block_rows: int = 32) -> DataFrame:
+    """The rows of docs, with their own columns, in the order of the mix; written to files, these follow it by name and row."""
+    placed = mix_sources(docs.select("doc_id", "source", F.struct(*(docs[c] for c in docs.columns)).alias("row")), weights, temperature, block_rows, carry=("row",))
+    by = [F.col("slot").asc_nulls_last(), F.col("block"), F.col("place"), F.col("source")]
+    return placed.repartitionByRange(*by).sortWithinPartitions(*by).select("row.*")
+
+
 def mix_sources(
-    docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = 0.5, block_rows: int = 32, period: int = 1000, bucket_rows: int = 2_000, max_sources: int = 10_000
+    docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = 0.5, block_rows: int = 32, period: int = 1000, bucket_rows: int = 2_000, max_sources: int = 10_000, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """docs: doc_id, source. Returns doc_id, source, block, slot, place (within the block) and balanced; (slot, place) is the order.
 
     weights: by source; by default each source's share of the rows to the power temperature. The names of the sources come to the
-    driver: they are the keys of the mix, at most max_sources of them; more raise an error.
+    driver: they are the keys of the mix, at most max_sources of them; more raise an error. carry: columns that come along.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "source", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(NULL)).alias("key"))
-    counted = rows.groupBy("key").count().limit(max_sources + 1).collect()
+    rows = docs.select("doc_id", "source", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(NULL)).alias("key"), *carry)
+    counted = rows.select("key").groupBy("key").count().limit(max_sources + 1).collect()
     if len(counted) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     counts = {r["key"]: r["count"] for r in counted}
@@ -97,7 +104,7 @@ def mix_sources(
 
     buckets = max(1, -(-sum(counts.values()) // bucket_rows))
     hashed = rows.withColumn("order", F.xxhash64("doc_id")).withColumn("bucket", F.pmod(F.col("order"), F.lit(buckets)))
-    per_bucket = hashed.groupBy("key", "bucket").agg(F.count("*").alias("n"))
+    per_bucket = hashed.select("key", "bucket").groupBy("key", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = per_bucket.select("key", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     inside = Window.partitionBy("key", "bucket").orderBy("order", "doc_id")
@@ -116,4 +123,4 @@ def mix_sources(
         .join(F.broadcast(schedule), ["key", "turn"], "left")
         .withColumn("slot", F.floor(F.col("block") / F.col("part")) * length + F.col("at"))
     )
-    return dealt.select("doc_id", "source", F.col("block").cast("long").alias("block"), F.col("slot").cast("long").alias("slot"), F.col("place").cast("long").alias("place"), F.coalesce(F.col("slot") < end, F.lit(False)).alias("balanced"))
+    return dealt.select("doc_id", "source", F.col("block").cast("long").alias("block"), F.col("slot").cast("long").alias("slot"), F.col("place").cast("long").alias("place"), F.coalesce(F.col("slot") < end, F.lit(False)).alias("balanced"), *carry)

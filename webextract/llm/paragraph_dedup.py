@@ -20,18 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webextract.llm.common import Workspace, cut, text_of
-from webextract.llm.components import bucket_links, connected_components
+from webextract.llm.common import Workspace, cut, maybe_among, text_of
+from webextract.llm.components import bucket_links, collisions, connected_components
 from webextract.llm.simhash import shingle_hashes, shingle_sets
 
 
-def tune_bands(similarity: float, recall: float, most: int = 64) -> tuple[int, int]:
-    """(bands, rows): of the bandings that find a pair at `similarity` with a chance of `recall`, the one with the longest bands whose
-    bands are at most half as many again as the fewest possible for three rows; longer bands admit fewer unlike pairs."""
-    need = {rows: int(np.ceil(np.log(1 - recall) / np.log1p(-(similarity**rows)))) for rows in range(1, 9)}
-    fit = [(rows, bands) for rows, bands in need.items() if bands <= min(most, 1.5 * need[3])]
-    rows, bands = max(fit)
-    return bands, rows
+def tune_bands(similarity: float, recall: float, least_rows: int = 3) -> tuple[int, int]:
+    """(bands, rows): the fewest bands that find a pair at `similarity` with a chance of `recall`, of bands of least_rows rows; shorter
+    ones would need fewer bands but admit many unlike pairs."""
+    return int(np.ceil(np.log(1 - recall) / np.log1p(-(similarity**least_rows)))), least_rows
 
 
 class MinHash:
@@ -74,19 +71,17 @@ def paragraphs(docs: DataFrame, min_words: int, words: int, minhash: MinHash) ->
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, start bigint, stop bigint, p bigint, bands array<bigint>")
 
 
-def repeated_paragraphs(docs: DataFrame, min_words: int = 25, words: int = 5, similarity: float = 0.8, recall: float = 0.998) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, min_words: int = 25, words: int = 5, similarity: float = 0.8, recall: float = 0.995) -> DataFrame:
     """docs: doc_id, text. Returns the paragraphs to remove: doc_id, start, stop, copies, kept_doc_id, kept_start (the occurrence that stays)."""
     space = Workspace(docs.sparkSession)
     found = space.save(paragraphs(docs, min_words, words, MinHash(*tune_bands(similarity, recall))), "paragraphs")
     first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "start"))
-    distinct = cut(found.groupBy("p").agg(F.count("*").alias("weight"), first.alias("first"), F.first("bands").alias("bands")))
-    members = distinct.select(F.explode("bands").alias("bucket"), F.col("p").alias("id"), "weight")
-
+    distinct = cut(found.groupBy("p").agg(F.count("*").alias("weight"), first.alias("first")))
+    met = collisions(found.select(F.explode("bands").alias("bucket"), F.col("p").alias("id")), space)
     # The shingle sets of the paragraphs that meet another one in some band, and of no others.
-    met = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    wanted = cut(members.join(met, "bucket", "left_semi").select(F.col("id").alias("p")).distinct())
-    lines = docs.select(F.explode(F.split(text_of(docs), "\n", -1)).alias("line")).select(F.xxhash64("line").alias("p"), "line")
-    texts = lines.where(F.length("line") >= 2 * min_words - 1).join(wanted, "p", "left_semi").groupBy("p").agg(F.first("line").alias("text"))
+    wanted = cut(met.select(F.col("id").alias("p")).distinct())
+    lines = docs.select(F.explode(F.split(text_of(docs), "\n", -1)).alias("line")).where(F.length("line") >= 2 * min_words - 1).select(F.xxhash64("line").alias("p"), "line")
+    texts = maybe_among(lines, wanted, "p").join(wanted, "p", "left_semi").groupBy("p").agg(F.first("line").alias("text"))
     sets = space.save(shingle_sets(texts.select(F.col("p").alias("text_hash"), "text"), words), "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -95,7 +90,7 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 25, words: int = 5, si
         common = F.size(F.array_intersect("sa", "sb"))
         return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
-    roots = connected_components(bucket_links(members, verify))
+    roots = connected_components(bucket_links(met, distinct.select(F.col("p").alias("id"), "weight"), verify))
     classes = cut(distinct.join(roots, distinct["p"] == roots["id"], "left").select("p", F.coalesce("root", "p").alias("root"), "first", "weight"))
     heads = classes.groupBy("root").agg(F.min("first").alias("head"), F.sum("weight").alias("n")).where("n > 1")
     named = cut(classes.join(heads, "root").select("p", "head"))

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webextract.llm.common import text_of
@@ -157,10 +157,14 @@ def _views(frame: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return read("t", GRAMS + len(RATIOS)), read("p", LANG + SOURCE + 3), (np.array(got.column("y").to_pylist(), dtype=float) > 0.5).astype(float)
 
 
-def _source(docs: DataFrame) -> DataFrame:
-    """COLUMNS in plain types; columns that docs lacks are null."""
+def _view_columns(docs: DataFrame) -> list[Column]:
+    """text, lang, source and n_chars in plain types; columns that docs lacks are null."""
     kinds = {"lang": "string", "source": "string", "n_chars": "bigint"}
-    return docs.select("doc_id", text_of(docs).alias("text"), *((docs[c] if c in docs.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()))
+    return [text_of(docs).alias("text"), *((docs[c] if c in docs.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items())]
+
+
+def _source(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", *_view_columns(docs))
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, max_labels: int = 8_000, max_pool: int = 4_000, max_lost: float = 0.002) -> Model | None:
@@ -196,3 +200,22 @@ def classify(docs: DataFrame, labels: DataFrame, max_labels: int = 8_000, max_po
         yield from run(b.slice(i, 1000) for b in batches for i in range(0, max(len(b), 1), 1000))
 
     return _source(docs).select(*COLUMNS).mapInArrow(sliced, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, kept boolean")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, max_labels: int = 8_000, max_pool: int = 4_000, max_lost: float = 0.002) -> DataFrame:
+    """The rows of docs, with all their columns, that classify() keeps."""
+    model = fit_classifier(docs, labels, max_labels, max_pool, max_lost)
+    if not model:
+        return docs
+    names = docs.columns
+    seen = docs.select("*", *(c.alias(f"__view{i}") for i, c in enumerate(_view_columns(docs))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, len(whole), 1000):
+                b = whole.slice(i, 1000)
+                t, *page = b.columns[len(names) :]
+                odds = model(np.stack([text_view(x.as_py()) for x in t]), np.stack([page_view(*x) for x in zip(*(c.to_pylist() for c in page))]))
+                yield pa.RecordBatch.from_arrays(b.filter(pa.array(odds >= model.threshold)).columns[: len(names)], names=names)
+
+    return seen.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))

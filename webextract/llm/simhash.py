@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webextract.llm.common import Workspace, cut, text_of
-from webextract.llm.components import bucket_links, connected_components
+from webextract.llm.common import Workspace, cut, maybe_among, text_of
+from webextract.llm.components import bucket_links, collisions, connected_components
 
 SEGMENTS, WIDTH = 4, 16
 #: The most differing bits that a chain of 1, 2, 3 and 4 segments may have.
@@ -111,17 +111,20 @@ def within_ring(a: Column, b: Column, bits: int = 3) -> Column:
     return reduce(Column.__or__, chains) & (F.bit_count(x) <= bits)
 
 
-def fingerprint_links(distinct: DataFrame, large: int = 128) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, space: Workspace, large: int = 128) -> DataFrame:
     """distinct: (f, weight). Links (a, b) that join every two fingerprints at most 3 bits apart that all links would join."""
-    members = distinct.select(F.explode(keys(F.col("f"))).alias("bucket"), F.col("f").alias("id"), "weight")
-    return bucket_links(members, lambda pairs: pairs.where(within_ring(F.col("a"), F.col("b"))), large)
+    members = distinct.select(F.explode(keys(F.col("f"))).alias("bucket"), F.col("f").alias("id"))
+    weights = distinct.select(F.col("f").alias("id"), "weight")
+    return bucket_links(collisions(members, space), weights, lambda pairs: pairs.where(within_ring(F.col("a"), F.col("b"))), large)
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, fingerprint, component_id."""
     rows = cut(fingerprints(docs, shingle, seed))
     distinct = cut(rows.groupBy("f0").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least")).withColumnRenamed("f0", "f"))
-    roots = connected_components(fingerprint_links(distinct))
+    space = Workspace(docs.sparkSession)
+    roots = connected_components(fingerprint_links(distinct, space))
+    space.drop()
     classes = distinct.join(roots, distinct["f"] == roots["id"], "left").select("f", F.coalesce("root", "f").alias("root"), "least")
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     # Joined by fingerprint; the fingerprint of a large group of copies is split by the adaptive skew join.
@@ -141,18 +144,17 @@ def near_duplicates(docs: DataFrame, features: int = 1, lanes: int = 8, verify_w
     rows = cut(fingerprints(work, features, lanes=lanes, keep=("doc_id", "text_hash")))
     texts = cut(rows.groupBy("text_hash").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least"), *(F.first(f"f{i}").alias(f"f{i}") for i in range(lanes))))
     lane = F.explode(F.array(*(F.struct(F.lit(i).alias("lane"), F.col(f"f{i}").alias("f")) for i in range(lanes)))).alias("x")
-    by_lane = texts.select(F.col("text_hash").alias("id"), "weight", lane).select("id", "weight", "x.lane", "x.f")
+    by_lane = texts.select(F.col("text_hash").alias("id"), lane).select("id", "x.lane", "x.f")
     # A bucket is a lane, a key and the place of a fingerprint in it.
-    members = by_lane.select(F.explode(keys(F.col("f"))).alias("key"), "lane", "id", "weight").select(F.xxhash64("lane", "key").alias("bucket"), "id", "weight")
+    members = by_lane.select(F.explode(keys(F.col("f"))).alias("key"), "lane", "id").select(F.xxhash64("lane", "key").alias("bucket"), "id")
     print_of = texts.select("text_hash", F.array(*(f"f{i}" for i in range(lanes))).alias("fs"))
 
     space = Workspace(docs.sparkSession)
+    met = collisions(members, space)
     # The shingle sets of texts that meet another one in some bucket, and of no others.
-    met = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    wanted = members.join(met, "bucket", "left_semi").select(F.col("id").alias("text_hash")).distinct()
-    reps = work.join(wanted, "text_hash", "left_semi").select("text_hash", "text")
-    shingles = space.save(shingle_sets(reps, verify_words), "shingles").dropDuplicates(["text_hash"])
-    shingles = space.save(shingles, "sets")
+    wanted = cut(met.select(F.col("id").alias("text_hash")).distinct())
+    reps = maybe_among(work.select("text_hash", "text"), wanted, "text_hash").join(wanted, "text_hash", "left_semi")
+    shingles = space.save(shingle_sets(reps.groupBy("text_hash").agg(F.first("text").alias("text")), verify_words), "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda c: print_of.select(F.col("text_hash").alias(c), F.col("fs").alias(f"f{c}"))
@@ -162,7 +164,7 @@ def near_duplicates(docs: DataFrame, features: int = 1, lanes: int = 8, verify_w
         common = F.size(F.array_intersect("sa", "sb"))
         return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
-    roots = connected_components(bucket_links(members, verify))
+    roots = connected_components(bucket_links(met, texts.select(F.col("text_hash").alias("id"), "weight"), verify))
     classes = texts.join(roots, texts["text_hash"] == roots["id"], "left").select("text_hash", F.coalesce("root", "text_hash").alias("root"), "least")
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(classes.join(least, "root").select("text_hash", "component_id"))
