@@ -6,6 +6,7 @@ clash with the names of an output, are ignored.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -59,6 +60,15 @@ class Workspace:
         fs.delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has Spark remove the shuffle files and checkpoints of steps that nothing refers to any more, so that the next step has their disk.
+
+    Spark does so when the driver's JVM happens to collect its garbage, which on a small heap may be much later.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, all else unchanged."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -50,16 +50,39 @@ def collisions(members: DataFrame, space: Workspace, name: str = "collisions") -
     return space.save(dealt.join(sizes.hint("merge"), "bucket").select("bucket", "id", "n"), name)
 
 
-def bucket_links(met: DataFrame, weights: DataFrame, verify: Callable[[DataFrame], DataFrame], large: int = 128, leaders: int = 3, work: int = 100) -> DataFrame:
+def small_pairs(met: DataFrame, large: int) -> DataFrame:
+    """All pairs (a < b) in buckets of up to `large` members."""
+    few = met.where(F.col("n") <= large)
+    return _pairs(few, few).where("a < b").select("a", "b").distinct()
+
+
+def _main_roots(everyone: DataFrame) -> DataFrame:
+    """everyone: (bucket, id, root). Of each bucket the root with the most members (main), and its members (n)."""
+    groups = everyone.groupBy("bucket", "root").agg(F.count("*").alias("c"))
+    return groups.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("n")).select("bucket", F.col("m.root").alias("main"), "n")
+
+
+def bucket_links(
+    met: DataFrame,
+    weights: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    large: int = 128,
+    leaders: int = 3,
+    work: int = 100,
+    refine: Callable[[DataFrame], DataFrame] | None = None,
+    few: DataFrame | None = None,
+) -> DataFrame:
     """Links (a, b) that join what all pairs within the buckets would join, if verify() keeps the pairs (a < b) that are links.
 
     met: (bucket, id, n) from collisions(); weights: (id, weight). Buckets of up to `large` members give all their pairs. In a larger one
     the members are held against a leader first, the heaviest one; those that link to it are together already, so only the others are held
     against the rest. Where that would still be more than `work` pairs for each member, more leaders are taken, and pairs within a
     component found so far are left out. Pairs of members of one component are never needed, so no component is lost.
+
+    refine: where crowds are left even then, gives their members, (id), longer keys, (bucket, id), that links share as well; members of
+    a crowd that are unlike each other part there. few: small_pairs() of met, where the caller has them.
     """
-    few = met.where(F.col("n") <= large)
-    found = [cut(verify(_pairs(few, few).where("a < b").select("a", "b").distinct()))]
+    found = [cut(verify(small_pairs(met, large) if few is None else few))]
     rest = met.where(F.col("n") > large).select("bucket", "id")
     if rest.isEmpty():
         return found[0]
@@ -69,15 +92,18 @@ def bucket_links(met: DataFrame, weights: DataFrame, verify: Callable[[DataFrame
         heads = rest.groupBy("bucket").agg(F.max(F.struct("weight", "id")).alias("h")).select("bucket", F.col("h.id").alias("id"))
         star = _pairs(heads, everyone).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found.append(cut(verify(star)))
-        roots = connected_components(reduce(DataFrame.union, found[1:]))
+        roots = connected_components(reduce(DataFrame.union, found))
         joined = everyone.drop("root").join(roots.hint("merge"), "id", "left")
         everyone = cut(joined.select("bucket", "id", "weight", F.coalesce("root", "id").alias("root")))
-        groups = everyone.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-        main = groups.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("n")).select("bucket", F.col("m.root").alias("main"), "n")
-        rest = cut(everyone.join(main.hint("merge"), "bucket").where("root <> main").select("bucket", "id", "weight", "root", "n"))
+        rest = cut(everyone.join(_main_roots(everyone).hint("merge"), "bucket").where("root <> main").select("bucket", "id", "weight", "root", "n"))
         left = rest.agg(F.sum("n")).first()[0] or 0
         if left <= work * total:
             break
+    if left > work * total and refine:
+        rooted = everyone.select("id", "root").distinct()
+        dealt = refine(rooted.select("id")).repartition("bucket").distinct()
+        everyone = cut(dealt.join(rooted.hint("merge"), "id").select("bucket", "id", "root"))
+        rest = cut(everyone.join(_main_roots(everyone).hint("merge"), "bucket").where("root <> main").select("bucket", "id", "root"))
     if left:
         x = rest.select("bucket", F.col("id").alias("x"), F.col("root").alias("rx"))
         y = everyone.select("bucket", F.col("id").alias("y"), F.col("root").alias("ry"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webextract.llm.common import Workspace, cut, text_of
+from webextract.llm.common import Workspace, cut, release, text_of
 
 END = np.uint64(xxhash.xxh64_intdigest(b" ", 42))  # no word has a space
 START = np.uint64(xxhash.xxh64_intdigest(b"  ", 42))
@@ -274,7 +274,7 @@ class Scorer:
         return np.where(seen, n * self.factor(order, n) / np.where(seen, divisor, 1), np.where(divisor > 0, weight * lower, lower))
 
 
-def score(docs: DataFrame, order: int = 2, batch_tokens: int = 1_000_000, bucket_keys: int = 500_000) -> DataFrame:
+def score(docs: DataFrame, order: int = 2, batch_tokens: int = 2_500_000, bucket_keys: int = 500_000) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities)."""
     space = Workspace(docs.sparkSession)
     packed = space.save(batches(docs, batch_tokens), "batches")
@@ -283,6 +283,8 @@ def score(docs: DataFrame, order: int = 2, batch_tokens: int = 1_000_000, bucket
 
     asked = count_requests(packed, order, bits)
     counted = space.save(asked.groupBy("order", "bucket").applyInArrow(lambda t: answer_counts(t), ANSWER), "counts")
+    del asked
+    release(docs.sparkSession)
     tables = counted.where("batch = -1")
     answers = counted.where("batch >= 0")
     # Of each order: the tokens, the different n-grams, and how many have count 1, 2, ..., a few numbers from each bucket.
@@ -316,6 +318,8 @@ def score(docs: DataFrame, order: int = 2, batch_tokens: int = 1_000_000, bucket
     for k in range(2, order + 1):
         asked = packed.groupBy("batch").cogroup(answers.where(F.col("order") <= k).groupBy("batch")).applyInArrow(ask(k), REQUEST)
         answers = answers.unionByName(space.save(asked.groupBy("order", "bucket").applyInArrow(lambda t: answer_backoff(t), ANSWER), f"backoff{k}"))
+        del asked
+        release(docs.sparkSession)
 
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 

@@ -21,30 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webextract.llm.common import Workspace, cut, maybe_among, text_of
-from webextract.llm.components import bucket_links, collisions, connected_components
-from webextract.llm.simhash import shingle_hashes, shingle_sets
-
-
-def tune_bands(similarity: float, recall: float, least_rows: int = 3) -> tuple[int, int]:
-    """(bands, rows): the fewest bands that find a pair at `similarity` with a chance of `recall`, of bands of least_rows rows; shorter
-    ones would need fewer bands but admit many unlike pairs."""
-    return int(np.ceil(np.log(1 - recall) / np.log1p(-(similarity**least_rows)))), least_rows
-
-
-class MinHash:
-    def __init__(self, bands: int, rows: int, seed: int = 7) -> None:
-        draw = np.random.default_rng(seed)
-        self.bands, self.rows = bands, rows
-        self.a = draw.integers(1, 1 << 63, bands * rows, dtype=np.uint64) | np.uint64(1)
-        self.b = draw.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
-        self.c = draw.integers(1, 1 << 63, rows, dtype=np.uint64) | np.uint64(1)
-
-    def __call__(self, hashes: np.ndarray) -> list[int]:
-        """One key for each band; different bands have different keys."""
-        least = (hashes[:, None] * self.a + self.b).min(axis=0).reshape(self.bands, self.rows)
-        keys = ((least ^ (least >> np.uint64(29))) * self.c).sum(axis=1, dtype=np.uint64)
-        keys = (keys ^ (keys >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + np.arange(self.bands, dtype=np.uint64)
-        return keys.view(np.int64).tolist()
+from webextract.llm.components import collisions, connected_components
+from webextract.llm.simhash import MinHash, set_links, shingle_hashes, shingle_sets, tune_bands
 
 
 def paragraphs(docs: DataFrame, min_words: int, words: int, minhash: MinHash) -> DataFrame:
@@ -78,19 +56,15 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 25, words: int = 5, si
     first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "start"))
     distinct = cut(found.groupBy("p").agg(F.count("*").alias("weight"), first.alias("first")))
     met = collisions(found.select(F.explode("bands").alias("bucket"), F.col("p").alias("id")), space)
-    # The shingle sets of the paragraphs that meet another one in some band, and of no others.
-    wanted = cut(met.select(F.col("id").alias("p")).distinct())
-    lines = docs.select(F.explode(F.split(text_of(docs), "\n", -1)).alias("line")).where(F.length("line") >= 2 * min_words - 1).select(F.xxhash64("line").alias("p"), "line")
-    texts = maybe_among(lines, wanted, "p").join(wanted, "p", "left_semi").groupBy("p").agg(F.first("line").alias("text"))
-    sets = space.save(shingle_sets(texts.select(F.col("p").alias("text_hash"), "text"), words), "sets")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda c: sets.select(F.col("text_hash").alias(c), F.col("set").alias(f"s{c}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    def make_sets(ids: DataFrame) -> DataFrame:
+        wanted = ids.select(F.col("id").alias("p"))
+        lines = docs.select(F.explode(F.split(text_of(docs), "\n", -1)).alias("line")).where(F.length("line") >= 2 * min_words - 1).select(F.xxhash64("line").alias("p"), "line")
+        texts = maybe_among(lines, wanted, "p").join(wanted, "p").groupBy("p").agg(F.first("line").alias("text"))
+        return space.save(shingle_sets(texts.select(F.col("p").alias("text_hash"), "text"), words), "sets")
 
-    roots = connected_components(bucket_links(met, distinct.select(F.col("p").alias("id"), "weight"), verify))
+    weights = distinct.select(F.col("p").alias("id"), "weight")
+    roots = connected_components(set_links(met, weights, make_sets, similarity))
     classes = cut(distinct.join(roots, distinct["p"] == roots["id"], "left").select("p", F.coalesce("root", "p").alias("root"), "first", "weight"))
     heads = classes.groupBy("root").agg(F.min("first").alias("head"), F.sum("weight").alias("n")).where("n > 1")
     named = cut(classes.join(heads, "root").select("p", "head"))

@@ -15,6 +15,7 @@ order of their texts' hash. Repeated rows come out repeatedly. An empty table gi
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,8 +29,10 @@ from webextract.llm.common import Workspace, text_of
 from webextract.llm.huffman import Coder, code_lengths
 
 BLOCK_IDS = 1 << 18
-#: Pieces that an encoder remembers; about 200 bytes each. When there are more, those of up to SHORT characters stay, the commoner ones.
+#: Words that an encoder remembers; about 200 bytes each. When there are more, those of up to SHORT characters stay, the commoner ones.
 MEMORY, SHORT = 1_200_000, 8
+#: A space that doesn't begin a word.
+_LOOSE = re.compile(r" (?:\s|\Z)").search
 
 
 def byte_letters() -> dict[int, str]:
@@ -50,19 +53,39 @@ class PieceEncoder:
         self.size = self.tokenizer.get_vocab_size()
         self.type = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.cut = regex.compile(pattern).findall
+        self.merge, self.letters, self.kind = self.tokenizer.model.tokenize, byte_letters(), "H" if self.type.itemsize == 2 else "I"
+        #: Of words, without the space before them, and of other pieces.
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def merged(self, piece: str) -> bytes:
+        return array(self.kind, [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def by_pieces(self, text: str) -> bytes:
+        out, known, pieces = [], self.known, self.pieces
+        for p in self.cut(text):
+            got = known.get(p[1:]) if p[0] == " " else pieces.get(p)
+            if got is None:
+                got = self.merged(p)
+                if p[0] != " " and len(p) <= SHORT and len(pieces) < MEMORY // 10:
+                    pieces[p] = got
+            out.append(got)
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text. The strings of special tokens are ordinary text."""
-        pieces = [self.cut(t) for t in texts]
+        """Packed ids of each text. The strings of special tokens are ordinary text.
+
+        The pattern always cuts before a space that a word follows, so a text without other spaces is its words with the spaces before them.
+        """
         if len(self.known) > MEMORY:
             self.known = {p: x for p, x in self.known.items() if len(p) <= SHORT}
             if len(self.known) > MEMORY // 2:
                 self.known.clear()
-        known, merge, letters, kind = self.known, self.tokenizer.model.tokenize, byte_letters(), "H" if self.type.itemsize == 2 else "I"
-        for p in set().union(*pieces).difference(known):
-            known[p] = array(kind, [t.id for t in merge(p.encode().decode("latin-1").translate(letters))]).tobytes()
-        return [b"".join(map(known.__getitem__, x)) for x in pieces]
+        known = self.known
+        words = [None if _LOOSE(t) else t.split(" ") for t in texts]
+        for w in set().union(*(x[1:] for x in words if x)).difference(known):
+            known[w] = self.by_pieces(" " + w)
+        return [self.by_pieces(t) if x is None else self.by_pieces(x[0]) + b"".join(map(known.__getitem__, x[1:])) for t, x in zip(texts, words)]
 
 
 _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
@@ -75,7 +98,8 @@ def _encoder(path: str, pattern: str) -> PieceEncoder:
 
 
 def id_blocks(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, order: list[Column]) -> DataFrame:
-    """part, block, doc_ids, counts, ids: whole documents in the order given, a part for each partition."""
+    """part, block, doc_ids, counts, ids: whole documents in the order given, a part for each partition; its block -1 has, as counts, how
+    often each id of the vocabulary occurs in it."""
     kind = docs.schema["doc_id"].dataType
     source = docs.select("doc_id", text_of(docs).alias("text"), *(c.alias(f"o{i}") for i, c in enumerate(order)))
     by = [*(F.col(f"o{i}").asc_nulls_first() for i in range(len(order))), F.xxhash64("text")]
@@ -90,8 +114,11 @@ def id_blocks(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, order:
         packed: list[bytes] = []
         size = 0
 
+        total = np.zeros(max(encoder.size, end_id + 1), dtype=np.int64)
+
         def flush() -> pa.RecordBatch:
             nonlocal block, ids, packed, size
+            total[:] += np.bincount(np.frombuffer(b"".join(packed), encoder.type), minlength=len(total))
             counts = np.array([len(x) // encoder.type.itemsize for x in packed], dtype="<u4").tobytes()
             out = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([counts]), pa.array([b"".join(packed)], pa.binary())]
             block, ids, packed, size = block + 1, [], [], 0
@@ -108,6 +135,7 @@ def id_blocks(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, order:
                         yield flush()
         if ids:
             yield flush()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([-1], pa.int32()), pa.array([None], pa.list_(pa.int64())), pa.array([total.tobytes()]), pa.array([None], pa.binary())], names=["part", "block", "doc_ids", "counts", "ids"])
 
     assert kind.simpleString() in ("bigint", "int", "smallint", "tinyint"), "doc_id is an integer"
     return dealt.mapInArrow(run, "part int, block int, doc_ids array<bigint>, counts binary, ids binary")
@@ -118,18 +146,19 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id:
     spark, space = docs.sparkSession, Workspace(docs.sparkSession)
     encoder = _encoder(tokenizer, pattern)
     kind, most = encoder.type.str, max(encoder.size, end_id + 1)
-    plain = space.save(id_blocks(docs, tokenizer, pattern, end_id, order or [F.col("doc_id")]), "ids")
+    saved = space.save(id_blocks(docs, tokenizer, pattern, end_id, order or [F.col("doc_id")]), "ids", "snappy")
+    plain = saved.where("block >= 0")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(most, dtype=np.int64)
         for b in batches:
             for x in b.column(0):
-                total += np.bincount(np.frombuffer(x.as_py(), kind), minlength=most)
+                total += np.frombuffer(x.as_py(), np.int64)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["id", "n"])
 
     # At most one row for each id of the vocabulary.
-    rows = plain.select("ids").mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    rows = saved.where("block = -1").select("counts").mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(most, dtype=np.int64)
     counts[np.array(rows.column("id"))] = np.array(rows.column("n"))
     lengths = code_lengths(counts)
