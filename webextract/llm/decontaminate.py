@@ -4,10 +4,10 @@
 2. A distributed randomised SVD of the benchmark's TF-IDF passages (power iterations on the Gram matrix, each a pass over the passages)
    gives the latent space; it is fitted on all items of a block of the benchmark, and every item is indexed in it.
 3. Every document is cut into windows of 32, 64 and 128 words at every 16th one. A window's cosine with an item is taken in the latent
-   space, over the window's whole norm. A window whose share of weight on the items' words is below the square of the least cosine can't
-   reach it and isn't projected.
-4. Candidates are verified on the words around the window: the longest common subsequence with the item, over the item's length, and the
-   answer check: the item's rarest words, on which an answer turns, must be there too.
+   space, over the window's whole norm. A window whose share of weight on the items' words is below the square of the least cosine isn't
+   projected: only words that repeat in it could lift it to that.
+4. Candidates are verified on the words around the window: the answer check (the item's rarest words, on which an answer turns, must be
+   there), then the longest common subsequence with the item, over the item's length.
 
 The benchmark is the stated query set: it is read in blocks of at most block_items items on average (by hash of item_id), as many scans
 as its size needs. Only blocks of it are on the driver and in closures.
@@ -38,7 +38,7 @@ MARKS = b'.,;:!?"()[]'
 
 @dataclass(frozen=True)
 class Limits:
-    cosine: float = 0.35
+    cosine: float = 0.42
     lcs: float = 0.7
     answer: float = 0.5
     min_words: int = 5
@@ -65,17 +65,18 @@ class Hasher:
         known = self.known
         for w in set(words).difference(known):
             known[w] = xxhash.xxh64_intdigest(w) % BUCKETS
-        return np.array([known[w] for w in words], dtype=np.int64)
+        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
 
 
 def word_weights(docs: DataFrame) -> np.ndarray:
-    """log(documents / documents with the bucket), for each bucket, over all documents; a bucket in no document gets the largest."""
+    """log(documents / documents with the bucket), for each bucket, over all documents; a bucket in no document gets the largest. What is in
+    over an eighth of the documents (of few documents, more) weighs nothing: it tells no passage from another."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, total = Hasher(), np.zeros(BUCKETS + 1, dtype=np.int64)
         for b in batches:
             for text in b.column(0):
-                total[np.unique(hashed(words_of(text.as_py())))] += 1
+                total[np.unique(hashed(list(set(words_of(text.as_py())))))] += 1
                 total[-1] += 1
         if total[-1]:
             cut = np.array_split(total, CHUNKS)
@@ -89,7 +90,12 @@ def word_weights(docs: DataFrame) -> np.ndarray:
     if not found:
         return np.ones(BUCKETS, dtype=np.float32)
     total = np.concatenate([np.frombuffer(r["n"], np.int64) for r in sorted(found, key=lambda r: r["chunk"])])
-    return np.log((total[-1] + 1) / (total[:-1] + 1)).astype(np.float32)
+    return weights_from(total[:-1], int(total[-1]))
+
+
+def weights_from(times: np.ndarray, documents: int) -> np.ndarray:
+    weight = np.log((documents + 1) / (times + 1))
+    return np.where(weight > min(np.log(8), 0.3 * np.log(documents + 1)), weight, 0).astype(np.float32)
 
 
 @dataclass
@@ -177,59 +183,73 @@ def index_block(items: DataFrame, weight: np.ndarray, limits: Limits) -> Block |
     return Block([i for i, _ in rows], [w for _, w in rows], place, basis, vectors / np.maximum(np.sqrt(share), 1e-9)[:, None], share, rare)
 
 
-def find(words: list[bytes], buckets: np.ndarray, weight: np.ndarray, block: Block, limits: Limits) -> list[tuple]:
-    """(item, cosine, LCS share, answer share) of the items found in a document."""
-    if not len(buckets):
-        return []
-    starts = np.arange(0, len(buckets), STEP)
+def find(docs: list[list[bytes]], hashed: Hasher, weight: np.ndarray, block: Block, limits: Limits) -> list[list[tuple]]:
+    """For each document (its words) the items found in it: (item, cosine, LCS share, answer share)."""
+    best: list[dict[int, tuple]] = [{} for _ in docs]
+    some = [i for i, words in enumerate(docs) if words]
+    if not some:
+        return [[] for _ in docs]
+    buckets = np.concatenate([hashed(docs[i]) for i in some])
+    sizes = np.array([len(docs[i]) for i in some])
+    firsts = np.cumsum(sizes) - sizes
+    # Steps of up to 16 words; a document's last one may be shorter.
+    steps = -(-sizes // STEP)
+    of_doc = np.repeat(np.arange(len(some)), steps)
+    stop = np.repeat(np.cumsum(steps), steps)  # the step after the document's last one
+    inner = np.arange(len(of_doc)) - np.repeat(np.cumsum(steps) - steps, steps)
+    starts = firsts[of_doc] + inner * STEP
     w = weight[buckets]
-    at = block.place[buckets]
-    energy = np.add.reduceat(w.astype(np.float64) ** 2, starts)
-    on_items = np.add.reduceat(np.where(at >= 0, w, 0).astype(np.float64) ** 2, starts)
-    sums = lambda x, n: np.diff(np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0)])[[np.arange(len(x)), np.minimum(np.arange(len(x)) + n, len(x))]], axis=0)[0]
-    chosen = []
+    at = np.where(w > 0, block.place[buckets], -1)
+    squares = w.astype(np.float64) ** 2
+    running = lambda x: np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0)])
+    energy, on_items = running(np.add.reduceat(squares, starts)), running(np.add.reduceat(np.where(at >= 0, squares, 0), starts))
+    chosen, cover = [], np.zeros(len(starts) + 1, dtype=np.int64)
     for n in WINDOWS:
-        whole, shared = sums(energy, n), sums(on_items, n)
-        # Words that repeat within a window could lift its projection over its share, by their number at most; two is allowed for.
-        chosen.append(np.flatnonzero((whole > 0) & (2 * shared >= limits.cosine**2 * whole)))
-    needed = np.zeros(len(starts), dtype=bool)
-    for n, c in zip(WINDOWS, chosen):
-        for k in range(n):
-            needed[np.minimum(c + k, len(starts) - 1)] = True
+        ends = np.minimum(np.arange(len(starts)) + n, stop)
+        whole = energy[ends] - energy[:-1]
+        c = np.flatnonzero((whole > 1e-9) & (on_items[ends] - on_items[:-1] >= limits.cosine**2 * whole))
+        chosen.append((c, ends[c], whole[c]))
+        np.add.at(cover, c, 1)
+        np.add.at(cover, ends[c], -1)
+    needed = np.cumsum(cover[:-1]) > 0
     if not needed.any():
-        return []
-    blocks = np.repeat(needed, STEP)[: len(buckets)] & (at >= 0)
-    tokens = np.flatnonzero(blocks)
-    if not len(tokens):
-        return []
-    projected = np.zeros((len(starts), block.basis.shape[1]))
-    rows = tokens // STEP
+        return [[] for _ in docs]
+    place = np.cumsum(needed) - needed  # of a needed step among the needed ones; a window's steps are all needed
+    place = np.append(place, needed.sum())
+    step_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(buckets))))
+    tokens = np.flatnonzero(needed[step_of] & (at >= 0))
+    rows = place[step_of[tokens]]
     edges = np.flatnonzero(np.diff(rows, prepend=-1))
+    projected = np.zeros((int(needed.sum()), block.basis.shape[1]))
     projected[rows[edges]] = np.add.reduceat(block.basis[at[tokens]] * w[tokens, None], edges, axis=0)
-    best: dict[int, tuple] = {}
-    tried: set[tuple[int, int]] = set()
-    for n, c in zip(WINDOWS, chosen):
+    projected = running(projected)
+    tried: set[tuple[int, int, int, int]] = set()
+    for c, ends, whole in chosen:
+        u = projected[np.where(ends > 0, place[ends - 1] + 1, 0)] - projected[place[c]]
+        near = np.linalg.norm(u, axis=1) >= limits.cosine * np.sqrt(whole)
+        c, ends, u = c[near], ends[near], u[near]
         if not len(c):
             continue
-        u = sums(projected, n)[c]
-        norm = np.sqrt(sums(energy, n)[c])
-        near = np.linalg.norm(u, axis=1) >= limits.cosine * norm
-        c, u, norm = c[near], u[near], norm[near]
+        last = np.append(starts, len(buckets))[ends]
+        # Repeated words weigh by their number; only windows that come this far are counted out.
+        norm = np.array([np.linalg.norm(k * weight[kinds]) for kinds, k in (np.unique(buckets[x:y], return_counts=True) for x, y in zip(starts[c].tolist(), last.tolist()))])
         cosine = (u @ block.latent.T) / norm[:, None]
         for i, item in np.argwhere(cosine >= limits.cosine).tolist():
-            size = len(block.words[item])
-            low, high = int(c[i]) * STEP - size, (int(c[i]) + n) * STEP + size
-            if (item, low // 32) in tried and item in best and best[item][1] >= 1:
+            doc, size = int(of_doc[c[i]]), len(block.words[item])
+            low, high = int(starts[c[i]] - firsts[doc]) - size, int(last[i] - firsts[doc]) + size
+            if (doc, item, low, high) in tried:
                 continue
-            tried.add((item, low // 32))
-            near_words = words[max(low, 0) : high]
-            lcs = common_subsequence(block.masks[item], size, near_words) / size
+            tried.add((doc, item, low, high))
+            near_words = docs[some[doc]][max(low, 0) : high]
             answer = len(block.rare[item].intersection(near_words)) / len(block.rare[item])
-            if lcs >= limits.lcs and answer >= limits.answer:
-                got = (float(cosine[i, item]), lcs, answer)
-                if item not in best or (got[1], got[0]) > (best[item][1], best[item][0]):
-                    best[item] = got
-    return [(block.ids[i], *x) for i, x in sorted(best.items())]
+            if answer < limits.answer:
+                continue
+            lcs = common_subsequence(block.masks[item], size, near_words) / size
+            if lcs >= limits.lcs:
+                got, old = (float(cosine[i, item]), lcs, answer), best[some[doc]].get(item)
+                if old is None or (got[1], got[0]) > (old[1], old[0]):
+                    best[some[doc]][item] = got
+    return [[(block.ids[i], *x) for i, x in sorted(found.items())] for found in best]
 
 
 def index(docs: DataFrame, benchmark: DataFrame, limits: Limits) -> tuple[np.ndarray, list[Block]]:
@@ -249,11 +269,11 @@ def _scan(docs: DataFrame, weight: np.ndarray, blocks: list[Block], limits: Limi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Hasher()
         for batch in batches:
-            hits = []
-            for text in batch.column(batch.num_columns - 1):
-                words = words_of(text.as_py())
-                buckets = hashed(words)
-                hits.append([x for b in blocks for x in find(words, buckets, weight, b, limits)])
+            hits: list[list[tuple]] = []
+            for i in range(0, len(batch), 200):
+                docs_words = [words_of(t.as_py()) for t in batch.column(batch.num_columns - 1)[i : i + 200]]
+                found = [find(docs_words, hashed, weight, b, limits) for b in blocks]
+                hits.extend([x for f in found for x in f[k]] for k in range(len(docs_words)))
             yield emit(batch, hits)
 
     return docs.mapInArrow(run, schema)
