@@ -84,7 +84,7 @@ class PieceEncoder:
         known = self.known
         words = [None if _LOOSE(t) else t.split(" ") for t in texts]
         for w in set().union(*(x[1:] for x in words if x)).difference(known):
-            known[w] = self.by_pieces(" " + w)
+            known[w] = self.merged(" " + w) if w.isalpha() else self.by_pieces(" " + w)  # letters are one piece
         return [self.by_pieces(t) if x is None else self.by_pieces(x[0]) + b"".join(map(known.__getitem__, x[1:])) for t, x in zip(texts, words)]
 
 
