@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,8 +66,10 @@ def release(spark: SparkSession) -> None:
 
     Spark does so when the driver's JVM happens to collect its garbage, which on a small heap may be much later.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # Python lets go of its objects in the JVM first
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def lower_ascii(text: Column) -> Column:

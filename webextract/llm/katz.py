@@ -13,8 +13,11 @@ scored by the recursion of the backoff.
 Defined results. Words are `[^\\x20\\x09-\\x0D]+` in lower case (A-Z); each document has one end token, and starts after it. A null or
 empty text has just the end token. Training documents are those whose crc32 of doc_id as text, mod 7, isn't 2; a null doc_id counts as an
 empty text. Repeated rows come out repeatedly. Without training documents all counts are zero and the unknown word has probability one.
-An empty table gives an empty one. A word unseen in training counts as the unknown word. Two n-grams of equal hash would be counted as
-one; for a billion different ones the chance of any such pair is under three in a hundred.
+An empty table gives an empty one. A word unseen in training counts as the unknown word.
+
+Words have hashes of 64 bits: for a billion different ones the chance of any equal pair is under three in a hundred. N-grams of two words
+and more have as many bits as make the chance of an n-gram to share its hash with any other at most 2**-21 (48 bits up to 134 million
+tokens, 64 from 34 billion on); such two would be counted as one.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,7 +72,7 @@ def batches(docs: DataFrame, batch_tokens: int) -> DataFrame:
             nonlocal known, ids, lengths, tokens, size, number
             words = np.array([xxhash.xxh64_intdigest(w, 42) for w in known], dtype=np.uint64)
             held = np.array([is_held_out(i) for i in ids], dtype=np.uint8)
-            row = [number, ids, np.array(lengths, np.int64).tobytes(), held.tobytes(), np.concatenate(tokens).tobytes(), words.tobytes()]
+            row = [number, ids, np.array(lengths, np.int64).tobytes(), held.tobytes(), zstandard.compress(np.concatenate(tokens).view(np.uint8).reshape(-1, 4).T.tobytes(), 3), words.tobytes()]
             number, known, ids, lengths, tokens, size = number + 1, {b" ": 0}, [], [], [], 0
             kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["batch", "doc_ids", "lengths", "held", "tokens", "words"])
@@ -93,11 +97,12 @@ def batches(docs: DataFrame, batch_tokens: int) -> DataFrame:
 class Batch:
     """One batch's tokens and the hashes of their n-grams."""
 
-    def __init__(self, row: dict) -> None:
+    def __init__(self, row: dict, mask: int) -> None:
+        self.mask = np.uint64(mask)
         self.number, self.doc_ids = row["batch"], row["doc_ids"]
         self.lengths = np.frombuffer(row["lengths"], np.int64)
         self.held = np.frombuffer(row["held"], np.uint8).astype(bool)
-        self.tokens = np.frombuffer(row["tokens"], np.int32)
+        self.tokens = np.frombuffer(zstandard.decompress(row["tokens"]), np.uint8).reshape(4, -1).T.copy().reshape(-1).view(np.int32)
         self.words = np.frombuffer(row["words"], np.uint64)
         self.first = np.cumsum(self.lengths) - self.lengths
         self.train = np.repeat(~self.held, self.lengths)
@@ -110,13 +115,13 @@ class Batch:
         out[1:] = before[:-1]
         start = np.array([START])
         for _ in range(order - 2):
-            start = join_hash(start, np.array([START]))
+            start = join_hash(start, np.array([START])) & self.mask
         out[self.first] = start
         return out
 
     def grams(self, order: int) -> np.ndarray:
         if order not in self._grams:
-            self._grams[order] = join_hash(self.history(order), self._grams[1])
+            self._grams[order] = join_hash(self.history(order), self._grams[1]) & self.mask
         return self._grams[order]
 
 
@@ -144,13 +149,13 @@ REQUEST = "batch bigint, `order` int, bucket int, keys binary, a binary, b binar
 _ANSWER = pa.schema([("batch", pa.int64()), ("order", pa.int32()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 
 
-def count_requests(packed: DataFrame, order: int, bits: int) -> DataFrame:
+def count_requests(packed: DataFrame, order: int, bits: int, mask: int) -> DataFrame:
     """Of each batch and order the different n-grams, and their counts in training documents (a)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for i in range(len(part)):
-                batch = Batch(part.slice(i, 1).to_pylist()[0])
+                batch = Batch(part.slice(i, 1).to_pylist()[0], mask)
                 for k in range(1, order + 1):
                     keys, at = np.unique(batch.grams(k), return_inverse=True)
                     n = np.bincount(at, weights=batch.train, minlength=len(keys)).astype(np.uint32)
@@ -221,6 +226,11 @@ def discounts(times: np.ndarray) -> np.ndarray:
     return np.concatenate([[1.0], (r - 0.5) / r])
 
 
+def _token_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(x.as_py(), np.int64).sum()) for x in part.column(0)], pa.int64())], names=["n"])
+
+
 class Scorer:
     """Probabilities of a batch's tokens, order by order, from the answers it got."""
 
@@ -278,10 +288,13 @@ def score(docs: DataFrame, order: int = 2, batch_tokens: int = 2_500_000, bucket
     """docs: doc_id, text. Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities)."""
     space = Workspace(docs.sparkSession)
     packed = space.save(batches(docs, batch_tokens), "batches")
-    tokens = packed.select(F.sum(F.length("tokens") / 4)).first()[0] or 0
+    # The lengths of the documents, 8 bytes each, are the only thing that has to be read for the number of tokens.
+    tokens = packed.select("lengths").mapInArrow(_token_counts, "n bigint").agg(F.sum("n")).first()[0] or 0
     bits = max(3, int(np.ceil(np.log2(max(tokens, 1) / bucket_keys))))
 
-    asked = count_requests(packed, order, bits)
+    width = 64 if tokens > 1 << 35 else 56 if tokens > 1 << 27 else 48
+    mask = (1 << 64) - (1 << (64 - width))
+    asked = count_requests(packed, order, bits, mask)
     counted = space.save(asked.groupBy("order", "bucket").applyInArrow(lambda t: answer_counts(t), ANSWER), "counts")
     del asked
     release(docs.sparkSession)
@@ -305,7 +318,7 @@ def score(docs: DataFrame, order: int = 2, batch_tokens: int = 2_500_000, bucket
 
     def ask(k: int):
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            batch = Batch(left.to_pylist()[0])
+            batch = Batch(left.to_pylist()[0], mask)
             scorer = Scorer(batch, right, model, bits)
             p = scorer.first_order()[0]
             for j in range(2, k):
@@ -324,7 +337,7 @@ def score(docs: DataFrame, order: int = 2, batch_tokens: int = 2_500_000, bucket
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        batch = Batch(left.to_pylist()[0])
+        batch = Batch(left.to_pylist()[0], mask)
         scorer = Scorer(batch, right, model, bits)
         p, count = scorer.first_order()
         for k in range(2, order + 1):
