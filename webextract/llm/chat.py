@@ -81,12 +81,12 @@ def format_chats(rows: DataFrame, template: ChatTemplate = ChatTemplate()) -> Da
         )
     )
     moves = F.create_map(*[F.lit(x) for (state, role), to in template.transitions.items() for x in (f"{state}\n{role}", to)])
-    # The fold keeps (state, place, first error); null is the state after an error.
+    # The fold keeps (state, place, first error); '' is the state after an error.
     begin = F.struct(F.lit(template.start).alias("state"), F.lit(0).alias("at"), F.lit(-1).alias("error"))
 
     def step(acc: Column, t: Column) -> Column:
-        to = F.try_element_at(moves, F.concat(acc["state"], F.lit("\n"), t["role"]))
-        return F.struct(to.alias("state"), (acc["at"] + 1).alias("at"), F.when((acc["error"] < 0) & to.isNull(), acc["at"]).otherwise(acc["error"]).alias("error"))
+        to = F.coalesce(F.try_element_at(moves, F.concat(acc["state"], F.lit("\n"), t["role"])), F.lit(""))
+        return F.struct(to.alias("state"), (acc["at"] + 1).alias("at"), F.when((acc["error"] < 0) & (to == ""), acc["at"]).otherwise(acc["error"]).alias("error"))
 
     state = F.aggregate("turns", begin, step)
     return (
@@ -96,7 +96,7 @@ def format_chats(rows: DataFrame, template: ChatTemplate = ChatTemplate()) -> Da
             "conv_id",
             "segments",
             "formatted",
-            F.coalesce(F.col("state.state").isin(*template.final), F.lit(False)).alias("valid"),
+            F.col("state.state").isin(*template.final).alias("valid"),
             F.when(F.col("state.error") >= 0, F.col("state.error")).alias("error_turn"),
         )
     )

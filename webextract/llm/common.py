@@ -82,11 +82,11 @@ def text_of(frame: DataFrame, name: str = "text") -> Column:
     return F.coalesce(frame[name].cast("string"), F.lit(""))
 
 
-def maybe_among(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 25) -> DataFrame:
+def maybe_among(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 22) -> DataFrame:
     """The rows whose key (a 64-bit hash) may be among those of `wanted`: all that are, and some others.
 
     A bitmap of 2**bits bits as a table of 2**(bits - 6) rows at most, whatever the size of `wanted`, so it can be broadcast. It saves
-    shuffling most of the other rows until `wanted` has tens of millions of keys; a join still has to follow.
+    shuffling most of the other rows until `wanted` has millions of keys; a join still has to follow.
     """
     place = F.pmod(F.col(key), F.lit(1 << bits))
     word, bit = F.shiftrightunsigned(place, 6).alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))

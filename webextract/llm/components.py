@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webextract.llm.common import Workspace, cut
+from webextract.llm.common import Workspace, cut, release
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
                 labels = labels.join(hooks.hint("merge"), labels["root"] == hooks["old"], "left").select("id", F.coalesce("new", "root").alias("root"))
             return cut(labels)
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        once = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("old"), F.least("a", "m").alias("new")))
+        once = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("old"), F.least("a", "m").alias("new"))
         nxt = once.select(F.col("old").alias("new"), F.col("new").alias("newer"))
         hooks = cut(once.join(nxt.hint("merge"), "new").select("old", F.col("newer").alias("new")))
         levels.append(hooks)
@@ -89,6 +89,7 @@ def bucket_links(
     everyone = rest = cut(rest.join(weights.hint("merge"), "id").select("bucket", "id", "weight", F.col("id").alias("root")))
     total, left = everyone.count(), 0
     for _ in range(leaders):
+        release(met.sparkSession)
         heads = rest.groupBy("bucket").agg(F.max(F.struct("weight", "id")).alias("h")).select("bucket", F.col("h.id").alias("id"))
         star = _pairs(heads, everyone).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found.append(cut(verify(star)))

@@ -5,7 +5,7 @@ of, as many of either kind as the labels' share has, for the other one to learn
 documents held out from the start (Platt scaling), combined by a logistic regression on the two calibrated log-odds, and all documents
 are scored. A document is rejected under the threshold below which at most max_lost of the good held-out documents fall.
 
-The labelled sample and the pool are bounded by max_labels and max_pool, taken by the least hash of doc_id.
+The labelled sample and the pool are bounded by max_labels and max_pool, taken by the least hash of doc_id; one task trains on both.
 
 Defined results. Null texts and null metadata are empty ones. Repeated rows come out repeatedly; null doc_ids come out too. Without labels
 of both kinds every document is kept, at score 0.5. An empty table gives an empty one.
@@ -13,6 +13,7 @@ of both kinds every document is kept, at score 0.5. An empty table gives an empt
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -144,17 +145,15 @@ def co_train(texts: np.ndarray, pages: np.ndarray, y: np.ndarray, pool_texts: np
     return out
 
 
-def _views(frame: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """frame: COLUMNS but doc_id, then y. The sample's views, brought to the driver, in an order that the rows alone decide."""
+def _rows_of_views(frame: DataFrame) -> DataFrame:
+    """frame: text, lang, source, n_chars, y. Returns both views and y (null for the pool)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t, g, s, n, y = (c.to_pylist() for c in b.columns)
             yield pa.RecordBatch.from_arrays([pa.array([text_view(x).tobytes() for x in t], pa.binary()), pa.array([page_view(*x).tobytes() for x in zip(g, s, n)], pa.binary()), pa.array(y, pa.float64())], names=["t", "p", "y"])
 
-    got = frame.mapInArrow(run, "t binary, p binary, y double").orderBy("y", F.xxhash64("t"), "p").toArrow()
-    read = lambda c, width: np.frombuffer(b"".join(got.column(c).to_pylist()), np.float32).reshape(-1, width)
-    return read("t", GRAMS + len(RATIOS)), read("p", LANG + SOURCE + 3), (np.array(got.column("y").to_pylist(), dtype=float) > 0.5).astype(float)
+    return frame.mapInArrow(run, "t binary, p binary, y double")
 
 
 def _view_columns(docs: DataFrame) -> list[Column]:
@@ -170,15 +169,26 @@ def _source(docs: DataFrame) -> DataFrame:
 def fit_classifier(docs: DataFrame, labels: DataFrame, max_labels: int = 8_000, max_pool: int = 4_000, max_lost: float = 0.002) -> Model | None:
     source = _source(docs)
     rest = ("text", "lang", "source", "n_chars")
-    texts, pages, y = _views(labelled_sample(source, labels, max_labels).select(*rest, F.col("__y").alias("y")))
-    if not 0 < y.sum() < len(y):
-        return None
+    sample = labelled_sample(source, labels, max_labels).select(*rest, F.col("__y").alias("y"))
     # The pool: the unlabelled documents with the least hash, of ids first, as only these have to be ordered.
     ids = source.select("doc_id").where("doc_id IS NOT NULL").join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
     ids = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_pool).select(F.col("doc_id").alias("__id"))
-    pool = source.join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select(*rest, F.lit(0.0).alias("y"))
-    pool_texts, pool_pages, _ = _views(pool)
-    return co_train(texts, pages, y, pool_texts, pool_pages, max_lost=max_lost)
+    pool = source.join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select(*rest, F.lit(None).cast("double").alias("y"))
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One task trains on the bounded sample; in an order that the rows alone decide.
+        rows = sorted((y is None, y or 0.0, t, p) for b in batches for t, p, y in zip(*(c.to_pylist() for c in b.columns)))
+        read = lambda k, part: np.frombuffer(b"".join(r[k] for r in part), np.float32).reshape(len(part), -1)
+        known, others = [r for r in rows if not r[0]], [r for r in rows if r[0]]
+        y = np.array([r[1] > 0.5 for r in known], dtype=float)
+        model = None
+        if 0 < y.sum() < len(y):
+            views = [read(k, part) if part else np.zeros((0, n), np.float32) for part in (known, others) for k, n in ((2, GRAMS + len(RATIOS)), (3, LANG + SOURCE + 3))]
+            model = co_train(views[0], views[1], y, views[2], views[3], max_lost=max_lost)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)])], names=["model"])
+
+    views = _rows_of_views(sample).unionByName(_rows_of_views(pool)).coalesce(1)
+    return pickle.loads(views.mapInArrow(train, "model binary").first()["model"])
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_labels: int = 8_000, max_pool: int = 4_000, max_lost: float = 0.002) -> DataFrame:

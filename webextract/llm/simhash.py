@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, features: int = 1, lanes: int = 12, verify_
 
     def near(pairs: DataFrame) -> DataFrame:
         side = lambda c: print_of.select(F.col("text_hash").alias(c), F.col("fs").alias(f"f{c}"))
-        ring = reduce(Column.__or__, [within_ring(F.col("fa")[i], F.col("fb")[i]) for i in range(lanes)])
+        ring = F.exists(F.zip_with("fa", "fb", lambda a, b: within_ring(a, b)), lambda x: x)
         return pairs.join(side("a"), "a").join(side("b"), "b").where(ring).select("a", "b")
 
     weights = texts.select(F.col("text_hash").alias("id"), "weight")
