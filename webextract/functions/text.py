@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ def has_byline(text: Column) -> Column:
 def navigation_hits(text: Column) -> Column:
     """How many of the navigation phrases the text contains."""
     low = F.lower(text)
-    return F.aggregate(F.array(*map(F.lit, C.NAVIGATION_PHRASES)), F.lit(0).cast("long"), lambda n, p: n + F.when(low.contains(p), 1).otherwise(0))
+    return reduce(Column.__add__, [low.contains(p).cast("long") for p in C.NAVIGATION_PHRASES])
 
 
 def flattened(text: Column, most: int) -> Column:

@@ -14,13 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webextract import constants as C
-from webextract.css import Chain, Test, parse_selector
+from webextract.css import Chain, SelectorIndex, Test, parse_selector
 from webextract.htmltree import Node, parse
 from webextract.operators.removal import HIDDEN, SMALL, partial_regex
 from webextract.operators.scoring import BYLINE_PATTERN, DATE_PATTERN
 
 COUNTED = ("p", "a", "img", "ul", "ol", "table", "td")
-SCHEMA = "pre int, post int, parent int, depth int, sib int, kind string, tag string, ns string, attrs map<string,string>, text string, subtree_text string, n_words int, " + ", ".join(f"n_{t} int" for t in COUNTED)
+SCHEMA = "pre int, post int, parent int, depth int, sib int, kind string, tag string, ns string, attrs map<string,string>, text string, subtree_text string, n_words int, " + ", ".join(f"n_{t} int" for t in COUNTED) + ", n_note_refs int, n_note_lists int"
+_MARKS = (SelectorIndex(C.FOOTNOTE_REFERENCES), SelectorIndex(C.FOOTNOTE_LISTS))
 
 
 def node_rows(document: Node) -> list[tuple]:
@@ -33,7 +34,7 @@ def node_rows(document: Node) -> list[tuple]:
         order.append((n, parent, depth, sib))
         stack.extend((c, me, depth + 1, i) for i, c in reversed(list(enumerate(n.children))))
     size = len(order)
-    post, counts = list(range(size)), [[0] * len(COUNTED) for _ in range(size)]
+    post, counts = list(range(size)), [[0] * (len(COUNTED) + len(_MARKS)) for _ in range(size)]
     texts: list[list[str]] = [[] for _ in range(size)]
     for i in range(size - 1, -1, -1):
         n, parent, _, _ = order[i]
@@ -44,6 +45,8 @@ def node_rows(document: Node) -> list[tuple]:
             texts[parent][:0] = texts[i]
             for k, t in enumerate(COUNTED):
                 counts[parent][k] += counts[i][k] + (n.kind == "element" and n.tag == t)
+            for k, index in enumerate(_MARKS, len(COUNTED)):
+                counts[parent][k] += counts[i][k] + bool(n.kind == "element" and (n.attrs or n.tag == "ol") and index.matches(n))
     out = []
     for i, (n, parent, depth, sib) in enumerate(order):
         whole = "".join(texts[i])
@@ -142,7 +145,7 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def score_blocks(nodes: DataFrame) -> DataFrame:
-    """page_id, pre, tag and score of every block (div, section, article, main); its terms but those that need other rows are columns."""
+    """page_id, pre, tag and score of every block (div, section, article, main): one scan, as subtree counts are columns."""
     text, words = F.trim("subtree_text"), F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     style, look = F.coalesce(_attr("style"), F.lit("")), F.lower(F.coalesce(_attr("class"), F.lit("")))
     yes = lambda condition, value: F.when(condition, F.lit(float(value))).otherwise(F.lit(0.0))
@@ -150,7 +153,6 @@ def score_blocks(nodes: DataFrame) -> DataFrame:
     scored = blocks.select(
         "page_id",
         "pre",
-        "post",
         "tag",
         (
             F.col("n_words")
@@ -162,15 +164,11 @@ def score_blocks(nodes: DataFrame) -> DataFrame:
             + yes(text.rlike("(?i)" + DATE_PATTERN), 10)
             + yes(text.rlike("(?i)" + BYLINE_PATTERN), 10)
             + yes(look.rlike("content|article|post"), 15)
+            + yes(F.col("n_note_refs") > 0, 10)
+            + yes(F.col("n_note_lists") > 0, 10)
         ).alias("score"),
     )
-    inside = F.lit(0.0)
-    for i, selectors in enumerate((C.FOOTNOTE_REFERENCES, C.FOOTNOTE_LISTS)):
-        marks = reduce(DataFrame.unionByName, [select_nodes(nodes, ", ".join(s for s in selectors if " " not in s)), *(select_nodes(nodes, s) for s in selectors if " " in s)])
-        keys = scored.join(marks.select(F.col("page_id").alias("p"), F.col("pre").alias("at")), (F.col("page_id") == F.col("p")) & (F.col("at") > F.col("pre")) & (F.col("at") <= F.col("post")), "left_semi")
-        scored = scored.join(keys.select("page_id", "pre", F.lit(10.0).alias(f"mark{i}")), ["page_id", "pre"], "left")
-        inside = inside + F.coalesce(F.col(f"mark{i}"), F.lit(0.0))
-    return scored.select("page_id", "pre", "tag", (F.col("score") + inside).alias("score"))
+    return scored
 
 
 def entry_points(nodes: DataFrame) -> DataFrame:
@@ -248,10 +246,8 @@ def clutter(nodes: DataFrame) -> DataFrame:
         - F.when((lists > 0) & (links_ > lists * 3), 10.0).otherwise(0.0)
         - 8.0 * count([any_name(p) for p in C.NON_CONTENT_PATTERNS])
     )
-    blocks = nodes.where((F.col("kind") == "element") & F.col("tag").isin(*C.BLOCK_TAGS) & ~likely & (F.col("n_words") >= 3))
-    lists_of_notes = select_nodes(nodes, ", ".join(C.FOOTNOTE_LISTS)).select(F.col("page_id").alias("p"), F.col("pre").alias("at"))
-    free = blocks.join(lists_of_notes, (F.col("page_id") == F.col("p")) & (F.col("at") > F.col("pre")) & (F.col("at") <= F.col("post")), "left_anti")
-    return free.select("page_id", "pre", "post", "tag", score.alias("clutter_score"))
+    blocks = nodes.where((F.col("kind") == "element") & F.col("tag").isin(*C.BLOCK_TAGS) & ~likely & (F.col("n_words") >= 3) & (F.col("n_note_lists") == 0))
+    return blocks.select("page_id", "pre", "post", "tag", score.alias("clutter_score"))
 
 
 def trailing_headings(nodes: DataFrame) -> DataFrame:

@@ -29,7 +29,14 @@ def _query(sql: str | None = None):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of fewer files than there are cores dealt out, as a small file may be one row group, which one task reads; others as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    few = rows.rdd.getNumPartitions() <= 4 * cores and len(rows.inputFiles()) < cores
+    return rows.repartition(cores) if few else rows
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +135,8 @@ def ad_block_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def clutter_removed_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of the exact selectors other than those on links' targets."""
-    found = nodes.exact_matches(_nodes(spark, sf_dir)).where(~F.col("selector").contains("href"))
+    # Five scans of the node table read it from Spark's cache, which spills to disk.
+    found = nodes.exact_matches(_nodes(spark, sf_dir).persist()).where(~F.col("selector").contains("href"))
     return found.groupBy("selector").agg(F.count("*").alias("n"))
 
 
