@@ -35,9 +35,10 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit(
-    x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, monotone: np.ndarray | None = None, trees: int = 60, depth: int = 4, rate: float = 0.2, l2: float = 1.0, bins: int = 64, least: float = 8.0
+    x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, monotone: np.ndarray | None = None, trees: int = 60, depth: int = 4, rate: float = 0.2, l2: float = 1.0, bins: int = 64, least: float = 8.0, sample: float = 1.0
 ) -> Trees:
-    """monotone: for each feature 1 (log-odds never fall with it), -1 (never rise) or 0. least: the least weight of a leaf.
+    """monotone: for each feature 1 (log-odds never fall with it), -1 (never rise) or 0. least: the least weight of a leaf. sample: the share of
+    the rows, drawn anew with a fixed seed, that each tree is grown on.
 
     A split that breaks a constraint is not made, and the values below a constrained split stay on their side of the midpoint, so the whole
     sum of trees is monotonic.
@@ -56,19 +57,22 @@ def fit(
     shape = (trees, size)
     feature, threshold, value = np.zeros(shape, np.int32), np.zeros(shape), np.zeros(shape)
     left, right = (np.tile(np.arange(size, dtype=np.int32), (trees, 1)) for _ in range(2))
+    draw = np.random.default_rng(0)
     for t in range(trees):
         p = sigmoid(raw)
-        grad, hess = weight * (p - y), weight * p * (1 - p)
+        drawn = draw.random(n) < sample
+        mass = weight * drawn
+        grad, hess = mass * (p - y), mass * p * (1 - p)
         node = np.zeros(n, dtype=np.int64)
         low, high = np.full(size, -np.inf), np.full(size, np.inf)
         best = lambda g, h, k: np.clip(-g / (h + l2), low[k], high[k])
         value[t, 0] = best(grad.sum(), hess.sum(), 0)
         for level in range(depth):
             first, many = 2**level - 1, 2**level
-            here = np.flatnonzero((node >= first) & (node < first + many))
+            here = np.flatnonzero(drawn & (node >= first) & (node < first + many))
             ids = np.arange(first, first + many)
             cell = ((node[here] - first)[:, None] * (m * bins) + offset[here]).ravel()
-            g, h, w = (np.bincount(cell, weights=np.repeat(v[here], m), minlength=many * m * bins).reshape(many, m, bins).cumsum(axis=2) for v in (grad, hess, weight))
+            g, h, w = (np.bincount(cell, weights=np.repeat(v[here], m), minlength=many * m * bins).reshape(many, m, bins).cumsum(axis=2) for v in (grad, hess, mass))
             gl, hl, wl = g[:, :, :-1], h[:, :, :-1], w[:, :, :-1]
             gr, hr, wr = g[:, :, -1:] - gl, h[:, :, -1:] - hl, w[:, :, -1:] - wl
             lo, hi = low[ids][:, None, None], high[ids][:, None, None]

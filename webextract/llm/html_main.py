@@ -261,7 +261,7 @@ class PageMaker:
         return " ".join(w + junk for w in text.split()) if junk else text
 
     def prose(self, most: int = 6) -> str:
-        text = " ".join(self.sentence() for _ in range(self.r.integers(1, most + 1)))
+        text = self.sentence(1, 3) if self.r.random() < 0.12 else " ".join(self.sentence() for _ in range(self.r.integers(1, most + 1)))
         if self.r.random() < 0.3:
             at = text.find(" ")
             text = f'{text[:at]} <a href="/x">{self.words(1, 4)}</a>{text[at:]}'
@@ -277,14 +277,19 @@ class PageMaker:
         name = self.pick(*names)
         return f' {self.pick("class", "class", "id")}="{self.pick("", "", "c-", "js-", "page-")}{name}{self.pick("", "", "-wrap", "-inner", "__block", " clearfix")}"'
 
+    def label(self) -> str:
+        """What a link in a menu says."""
+        text = self.words(1, self.pick(1, 1, 3))
+        return (text.capitalize() if self.r.random() < 0.4 else text) + self.pick("", "", "", ".", ",", ".")
+
     def links(self, n: int) -> str:
-        return "".join(f'<li><a href="/{i}">{self.words(1, 3)}</a></li>' for i in range(n))
+        return "".join(f'<li><a href="/{i}">{self.label()}</a></li>' for i in range(n))
 
     def junk(self, kind: str) -> str:
         r, many = self.r, int(self.r.integers(2, 9))
         if kind == "menu":
-            inner = self.pick(f"<ul>{self.links(many)}</ul>", " ".join(f'<a href="#">{self.words(1, 2)}</a>' for _ in range(many)))
-            return self.pick(f"<nav>{inner}</nav>", f"<nav{self.attrs('menu', 'navbar')}>{inner}</nav>", f"<div{self.attrs('menu', 'navigation', 'nav', 'breadcrumbs', 'pagination', 'topnav', chance=1)}>{inner}</div>", f"<ul{self.attrs('menu', 'nav', 'breadcrumb', chance=1)}>{self.links(many)}</ul>")
+            inner = self.pick(f"<ul>{self.links(many)}</ul>", " ".join(f'<a href="#">{self.label()}</a>' for _ in range(many)))
+            return self.pick(f"<nav>{inner}</nav>", f"<nav>{inner}</nav>", f"<nav{self.attrs('menu', 'navbar')}>{inner}</nav>", f"<div{self.attrs('menu', 'navigation', 'nav', 'breadcrumbs', 'pagination', 'topnav', chance=1)}>{inner}</div>", f"<ul{self.attrs('menu', 'nav', 'breadcrumb', chance=1)}>{self.links(many)}</ul>")
         if kind == "head":
             inner = self.pick("", f"<h1>{self.words(1, 4)}</h1>", f"<h2>{self.words(1, 4)}</h2>") + self.pick(self.words(1, 6), f"<p>{self.sentence(2, 9)}</p>", self.junk("menu"))
             return self.pick(f"<header>{inner}</header>", f"<header{self.attrs('header', 'masthead')}>{inner}</header>", f"<div{self.attrs('header', 'masthead', 'topbar', 'branding', 'site-header', chance=1)}>{inner}</div>")
@@ -337,8 +342,8 @@ class PageMaker:
 
     def page(self) -> str:
         r = self.r
-        pieces = [self.own(self.piece()) for _ in range(self.pick(1, 2, 3, 5, 8, 15))]
-        title = self.words(1, 10)
+        pieces = [self.own(self.piece()) for _ in range(self.pick(1, 1, 2, 3, 5, 8, 15))]
+        title = self.words(1, self.pick(2, 10))
         heading = self.pick(f"<h1>{title}</h1>", f"<h1>{title}</h1>", f"<h1>{title}</h1>", f"<header><h1>{title}</h1></header>", "")
         inside = ["advert", "share", "side", "note", "form", "menu", "foot"]
         for _ in range(int(r.integers(0, 3)) if r.random() < 0.5 else 0):
@@ -397,10 +402,10 @@ def labelled(html: str) -> tuple[list[Block], np.ndarray]:
 
 
 @lru_cache(maxsize=4)
-def fit_model(training_pages: int = 500, seed: int = 1) -> gbt.Trees:
+def fit_model(training_pages: int = 1000, seed: int = 1) -> gbt.Trees:
     maker = PageMaker(seed)
     pages, y = zip(*(labelled(maker.page()) for _ in range(training_pages)))
-    return gbt.fit(features(*forest(list(pages))), np.concatenate(y).astype(float), trees=60, depth=5, rate=0.25, bins=32, least=4)
+    return gbt.fit(features(*forest(list(pages))), np.concatenate(y).astype(float), trees=60, depth=5, rate=0.25, bins=32, least=4, sample=0.4)
 
 
 def extract_main_text(pages: DataFrame, model: gbt.Trees | None = None) -> DataFrame:

