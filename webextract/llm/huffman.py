@@ -53,18 +53,20 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 class Coder:
     def __init__(self, lengths: np.ndarray) -> None:
         self.lengths = lengths.astype(np.int64)
-        self.codes = canonical(lengths).astype(np.uint64)
+        #: Of each id the code and, in the low byte, its length.
+        self.both = canonical(lengths).astype(np.int64) << 8 | self.lengths
         self._table: tuple[np.ndarray, np.ndarray] | None = None
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bits, the first one highest in its byte, and the bit offset of every STRIDE-th id."""
         if not len(ids):
             return b"", np.zeros(0, dtype=np.uint32)
-        n = self.lengths[ids]
+        both = self.both[ids]
+        n = both & 255
         ends = np.cumsum(n)
         starts = ends - n
         # Each code in the 64 bits from the start of the 32-bit word that it starts in; codes share no bit, so adding is setting.
-        window = self.codes[ids] << (64 - n - (starts & 31)).astype(np.uint64)
+        window = (both >> 8).view(np.uint64) << (64 - n - (starts & 31)).view(np.uint64)
         word = starts >> 5
         first = np.flatnonzero(np.diff(word, prepend=-1))
         out = np.zeros(int(word[-1]) + 2, dtype=np.uint64)

@@ -15,7 +15,6 @@ order of their texts' hash. Repeated rows come out repeatedly. An empty table gi
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -31,8 +30,6 @@ from webextract.llm.huffman import Coder, code_lengths
 BLOCK_IDS = 1 << 18
 #: Words that an encoder remembers; about 200 bytes each. When there are more, those of up to SHORT characters stay, the commoner ones.
 MEMORY, SHORT = 1_200_000, 8
-#: A space that doesn't begin a word.
-_LOOSE = re.compile(r" (?:\s|\Z)").search
 
 
 def byte_letters() -> dict[int, str]:
@@ -82,10 +79,20 @@ class PieceEncoder:
             if len(self.known) > MEMORY // 2:
                 self.known.clear()
         known = self.known
-        words = [None if _LOOSE(t) else t.split(" ") for t in texts]
-        for w in set().union(*(x[1:] for x in words if x)).difference(known):
+        cut = [(t[:i], t[i + 1 :].split(" ")) if (i := t.find(" ")) >= 0 else (t, []) for t in texts]
+        new = set().union(*(words for _, words in cut)).difference(known)
+        loose = {w for w in new if not w or w[0].isspace()}  # what stands after a space that doesn't begin a word
+        for w in new - loose:
             known[w] = self.merged(" " + w) if w.isalpha() else self.by_pieces(" " + w)  # letters are one piece
-        return [self.by_pieces(t) if x is None else self.by_pieces(x[0]) + b"".join(map(known.__getitem__, x[1:])) for t, x in zip(texts, words)]
+        out = []
+        for text, (first, words) in zip(texts, cut):
+            if not words:
+                out.append(self.by_pieces(first))
+            elif loose and not loose.isdisjoint(words):
+                out.append(self.by_pieces(text))
+            else:
+                out.append(self.by_pieces(first) + b"".join(map(known.__getitem__, words)))
+        return out
 
 
 _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
@@ -118,9 +125,10 @@ def id_blocks(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, order:
 
         def flush() -> pa.RecordBatch:
             nonlocal block, ids, packed, size
-            total[:] += np.bincount(np.frombuffer(b"".join(packed), encoder.type), minlength=len(total))
+            whole = b"".join(packed)
+            total[:] += np.bincount(np.frombuffer(whole, encoder.type), minlength=len(total))
             counts = np.array([len(x) // encoder.type.itemsize for x in packed], dtype="<u4").tobytes()
-            out = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([counts]), pa.array([b"".join(packed)], pa.binary())]
+            out = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([counts]), pa.array([whole], pa.binary())]
             block, ids, packed, size = block + 1, [], [], 0
             return pa.RecordBatch.from_arrays(out, names=["part", "block", "doc_ids", "counts", "ids"])
 
