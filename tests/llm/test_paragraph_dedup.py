@@ -81,3 +81,20 @@ def test_edges(spark, schema):
     rows = [(1, None), (2, ""), (3, "\n\n"), (4, long), (4, long), (None, long), (5, (long + "\n") * 2), (6, prose(20_000))]
     got = {(r.doc_id, r.start, r.copies, r.kept_doc_id) for r in pd.repeated_paragraphs(spark.createDataFrame([(*r, *extra) for r in rows], schema)).collect()}
     assert got == {(4, 0, 2, None), (5, 0, 1, None), (5, len(long) + 1, 1, None)}
+
+
+def test_passages_inside_other_paragraphs(spark):
+    sentence = lambda n: prose(n).capitalize() + "."
+    passage = " ".join(sentence(int(DRAW.integers(3, 15))) for _ in range(8))
+    short = sentence(6)
+    rows = [(i, prose(12) + " " + (passage + " " if i % 3 == 0 else short + " ") + prose(30) + ".\nother line") for i in range(12)] + [(50, prose(70) + "."), (None, prose(40) + ".")]
+    got = pd.repeated_paragraphs(spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, h string").repartition(3)).collect()
+    texts = dict(rows)
+    assert {r.doc_id for r in got} == {3, 6, 9} and all(r.kept_doc_id == 0 for r in got)
+    inner = passage[passage.index(". ") + 2 :]  # the first sentence runs together with what stands before it
+    assert all(inner == texts[r.doc_id][r.start : r.stop].strip() for r in got)
+
+
+@pytest.mark.parametrize("line, want", [("A b. C d! E", ["A b. ", "C d! ", "E"]), ("v1.2 is e.g. this... Ok?!", ["v1.2 is e.g. ", "this... ", "Ok?!"]), ("", []), ("...", ["..."])])
+def test_sentences(line, want):
+    assert [m[0] for m in pd._SENTENCE.finditer(line) if m[0]] == want

@@ -1,26 +1,32 @@
-"""Substring deduplication: paragraphs that repeat, exactly or nearly, within and across documents.
+"""Substring deduplication: paragraphs, and passages inside of them, that repeat within and across documents.
 
 Paragraphs are the lines of a text with at least min_words words. MinHash signatures over their five-word shingles are banded; paragraphs
 that share a band are candidates, verified by the exact Jaccard similarity of their shingle sets; links make components, and of each
 component the first occurrence, by (doc_id, start), stays. Equal paragraphs are one before any pair is made, and a band with very many
 different paragraphs doesn't give all its pairs (see components.bucket_links).
 
+A passage may also repeat inside of paragraphs that are otherwise unlike. So the sentences of the paragraphs that stay are compared as well,
+by their exact hash: a run of neighbouring sentences with min_words words or more in all, each of which occurs elsewhere before, is removed
+too. A sentence ends after a word that ends with one of .!? and a hash is of 64 bits.
+
 Defined results. Null and empty texts have no paragraphs. Shingles are of words in lower case (A-Z); with fewer words than a shingle, the
 whole paragraph is one. Repeated rows are occurrences like any other, so all but the first are removed; they share doc_id and start, and
-come out once with copies counting them. Null doc_ids come first. An empty table gives an empty one.
+come out once with copies counting them. Null doc_ids come first. An empty table gives an empty one. For a run, kept_doc_id and kept_start
+are where its first sentence stays.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webextract.llm.common import Workspace, cut, maybe_among, text_of
+from webextract.llm.common import Workspace, cut, maybe_among, release, text_of
 from webextract.llm.components import collisions, connected_components
 from webextract.llm.simhash import MinHash, set_links, shingle_hashes, shingle_sets, tune_bands
 
@@ -49,8 +55,58 @@ def paragraphs(docs: DataFrame, min_words: int, words: int, minhash: MinHash) ->
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, start bigint, stop bigint, p bigint, bands array<bigint>")
 
 
+_SENTENCE = re.compile(r"[^.!?]*(?:[.!?]+(?![ \t\n\v\f\r]|\Z)[^.!?]*)*[.!?]*[ \t\n\v\f\r]*")
+
+
+def sentences(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, line (its start), nth (in the document), start, stop, words, h: the sentences of paragraphs of at least min_words words."""
+    source = docs.select("doc_id", text_of(docs).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = xxhash.xxh64_intdigest
+        for batch in batches:
+            ids, lines, nths, starts, stops, words, hashes = ([] for _ in range(7))
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                at, nth = 0, 0
+                for line in text.as_py().split("\n"):
+                    if len(line.encode().split()) >= min_words:
+                        nth += 1  # sentences of different paragraphs aren't neighbours
+                        for m in _SENTENCE.finditer(line):
+                            raw = m[0].encode().strip()
+                            if raw:
+                                ids.append(doc_id)
+                                lines.append(at)
+                                nths.append(nth)
+                                starts.append(at + m.start())
+                                stops.append(at + m.end())
+                                words.append(len(raw.split()))
+                                hashes.append(hashed(raw, 42))
+                                nth += 1
+                    at += len(line) + 1
+            columns = [pa.array(ids, batch.column(0).type), *(pa.array(x, pa.int64()) for x in (lines, nths, starts, stops, words)), pa.array(np.array(hashes, dtype=np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "nth", "start", "stop", "words", "h"])
+
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return source.mapInArrow(run, f"doc_id {kind}, line bigint, nth bigint, start bigint, stop bigint, words bigint, h bigint")
+
+
+def repeated_runs(docs: DataFrame, removed: DataFrame, space: Workspace, min_words: int) -> DataFrame:
+    """The runs of repeated sentences in paragraphs other than the removed ones (doc_id, start), in the columns of repeated_paragraphs()."""
+    gone = removed.select(F.col("doc_id").alias("g"), F.col("start").alias("gs"))
+    pieces = space.save(sentences(docs, min_words), "sentences")
+    left = pieces.join(gone, pieces["doc_id"].eqNullSafe(gone["g"]) & (pieces["line"] == gone["gs"]), "left_anti")
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "start")
+    first = left.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h", "first")
+    later = left.join(first, "h").where(place != F.col("first"))
+    by = Window.partitionBy("doc_id").orderBy("nth", "start")
+    # Neighbours have the same difference of their number in the document and their rank among the repeated ones.
+    runs = later.dropDuplicates(["doc_id", "start"]).withColumn("run", F.col("nth") - F.row_number().over(by))
+    found = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("words"), F.min(F.struct("start", "first")).alias("f"))
+    return found.where(F.col("words") >= min_words).select("doc_id", "start", "stop", F.lit(1).cast("long").alias("copies"), F.col("f.first.doc_id").alias("kept_doc_id"), F.col("f.first.start").alias("kept_start"))
+
+
 def repeated_paragraphs(docs: DataFrame, min_words: int = 25, words: int = 5, similarity: float = 0.8, recall: float = 0.995) -> DataFrame:
-    """docs: doc_id, text. Returns the paragraphs to remove: doc_id, start, stop, copies, kept_doc_id, kept_start (the occurrence that stays)."""
+    """docs: doc_id, text. Returns the paragraphs and runs of sentences to remove: doc_id, start, stop, copies, kept_doc_id, kept_start (the occurrence that stays)."""
     space = Workspace(docs.sparkSession)
     found = space.save(paragraphs(docs, min_words, words, MinHash(*tune_bands(similarity, recall))), "paragraphs")
     first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "start"))
@@ -77,5 +133,7 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 25, words: int = 5, si
     is_head = F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("start") == F.col("kept_start"))
     out = out.withColumn("copies", F.when(is_head, F.col("copies") - 1).otherwise(F.col("copies"))).where("copies > 0")
     out = cut(out.select("doc_id", "start", "stop", "copies", "kept_doc_id", "kept_start"))
+    release(docs.sparkSession)
+    out = cut(out.unionByName(repeated_runs(docs, out, space, min_words)))
     space.drop()
     return out
