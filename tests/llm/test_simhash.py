@@ -105,3 +105,19 @@ def test_edges(spark):
     assert simhash.simhash_components(spark.createDataFrame([], schema)).count() == 0
     got = simhash.simhash_components(spark.createDataFrame([(None, None, "", ""), (None, "a", "", ""), (7, "", "", ""), (7, "", "", "")], schema)).collect()
     assert sorted((r.doc_id or -1, r.fingerprint == "0" * 16, r.component_id) for r in got) == [(-1, False, None), (-1, True, 7), (7, True, 7), (7, True, 7)]
+
+
+@pytest.mark.parametrize("tile, crowd", [(1000, 8000), (16, 8000), (16, 10)])
+def test_crowds_are_joined_as_by_all_pairs(spark, monkeypatch, tile, crowd):
+    from webextract.llm.components import connected_components
+
+    monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    base = prose(60)
+    texts = sorted({edited(base, int(DRAW.integers(0, 6))) for _ in range(90)} | {prose(40) for _ in range(5)})
+    sets = [frozenset(simhash.shingle_hashes(t, 5)) for t in texts]
+    want = components(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    left = spark.createDataFrame([(7, i, i) for i in range(len(texts))], "bucket bigint, id bigint, root bigint")
+    frame = simhash.shingle_sets(spark.createDataFrame(list(enumerate(texts)), "text_hash bigint, text string"), 5)
+    got = {r.id: r.root for r in connected_components(simhash.crowd_links(left, frame, 0.8)).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == want

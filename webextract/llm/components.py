@@ -69,7 +69,7 @@ def bucket_links(
     large: int = 128,
     leaders: int = 3,
     work: int = 100,
-    refine: Callable[[DataFrame], DataFrame] | None = None,
+    crowd: Callable[[DataFrame], DataFrame] | None = None,
     few: DataFrame | None = None,
 ) -> DataFrame:
     """Links (a, b) that join what all pairs within the buckets would join, if verify() keeps the pairs (a < b) that are links.
@@ -79,19 +79,23 @@ def bucket_links(
     against the rest. Where that would still be more than `work` pairs for each member, more leaders are taken, and pairs within a
     component found so far are left out. Pairs of members of one component are never needed, so no component is lost.
 
-    refine: where crowds are left even then, gives their members, (id), longer keys, (bucket, id), that links share as well; members of
-    a crowd that are unlike each other part there. few: small_pairs() of met, where the caller has them.
+    crowd: where it is given, large buckets take one leader, and what that leaves apart goes to it as (bucket, id, root), a bucket being all
+    members that share large buckets, directly or through others; it gives verified links (a, b) that join all that link across roots. few:
+    small_pairs() of met, where the caller has them.
     """
     found = [cut(verify(small_pairs(met, large) if few is None else few))]
     rest = met.where(F.col("n") > large).select("bucket", "id")
     if rest.isEmpty():
         return found[0]
+    if crowd:
+        return _with_crowds(rest, verify, crowd, found[0])
     everyone = rest = cut(rest.join(weights.hint("merge"), "id").select("bucket", "id", "weight", F.col("id").alias("root")))
     total, left = everyone.count(), 0
     for _ in range(leaders):
         release(met.sparkSession)
-        heads = rest.groupBy("bucket").agg(F.max(F.struct("weight", "id")).alias("h")).select("bucket", F.col("h.id").alias("id"))
-        star = _pairs(heads, everyone).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        heads = rest.groupBy("bucket").agg(F.max(F.struct("weight", "id", "root")).alias("h")).select("bucket", F.col("h.id").alias("x"), F.col("h.root").alias("rx"))
+        star = everyone.select("bucket", F.col("id").alias("y"), F.col("root").alias("ry")).join(heads.hint("merge"), "bucket").where("rx <> ry")
+        star = star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         found.append(cut(verify(star)))
         roots = connected_components(reduce(DataFrame.union, found))
         joined = everyone.drop("root").join(roots.hint("merge"), "id", "left")
@@ -100,14 +104,21 @@ def bucket_links(
         left = rest.agg(F.sum("n")).first()[0] or 0
         if left <= work * total:
             break
-    if left > work * total and refine:
-        rooted = everyone.select("id", "root").distinct()
-        dealt = refine(rooted.select("id")).repartition("bucket").distinct()
-        everyone = cut(dealt.join(rooted.hint("merge"), "id").select("bucket", "id", "root"))
-        rest = cut(everyone.join(_main_roots(everyone).hint("merge"), "bucket").where("root <> main").select("bucket", "id", "root"))
     if left:
         x = rest.select("bucket", F.col("id").alias("x"), F.col("root").alias("rx"))
         y = everyone.select("bucket", F.col("id").alias("y"), F.col("root").alias("ry"))
         last = x.join(y.hint("merge"), "bucket").where("rx <> ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         found.append(cut(verify(last)))
     return reduce(DataFrame.union, found)
+
+
+def _with_crowds(rest: DataFrame, verify: Callable[[DataFrame], DataFrame], crowd: Callable[[DataFrame], DataFrame], links: DataFrame) -> DataFrame:
+    """The links of large buckets, (bucket, id), by a leader each and then by crowds; after the first join all is by id, not by bucket."""
+    heads = rest.groupBy("bucket").agg(F.min("id").alias("x"))
+    star = rest.join(heads.hint("merge"), "bucket").where("id <> x").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
+    star = cut(star.distinct())
+    links = links.union(cut(verify(star)))
+    groups = connected_components(star).select("id", F.col("root").alias("bucket"))
+    joined = groups.join(connected_components(links).hint("merge"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    apart = joined.groupBy("bucket").agg(F.countDistinct("root").alias("k")).where("k > 1").select("bucket")
+    return links.union(cut(crowd(joined.join(apart.hint("merge"), "bucket"))))

@@ -225,7 +225,7 @@ def set_links(
     """Links among the members of buckets whose shingle sets have the similarity or more, by the sets' exact sizes.
 
     make_sets: from (id) to (text_hash, set), called once with the ids of the pairs that pass the prefilter and of the crowded buckets.
-    Crowds that even leaders don't join, of members alike enough to meet and unlike enough not to link, part by bands of eight rows.
+    Crowds that even leaders don't join, of members alike enough to meet and unlike enough not to link, are compared tile by tile.
     """
     few = cut(prefilter(small_pairs(met, large)))
     ids = few.select(F.col("a").alias("id")).union(few.select("b")).union(met.where(F.col("n") > large).select("id")).distinct()
@@ -237,9 +237,72 @@ def set_links(
         common = F.size(F.array_intersect("sa", "sb"))
         return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
-    longer = MinHash(*tune_bands(similarity, 0.998, 8), seed=11)
-    refine = lambda ids: banded(sets.join(ids.select(F.col("id").alias("text_hash")), "text_hash"), longer)
-    return bucket_links(met, weights, lambda pairs: exact(pairs if pairs is few else prefilter(pairs)), large, leaders=2, work=8, refine=refine, few=few)
+    return bucket_links(met, weights, lambda pairs: exact(pairs if pairs is few else prefilter(pairs)), large, leaders=2, work=8, crowd=lambda left: crowd_links(left, sets, similarity), few=few)
+
+
+#: Members of a crowd whose sets are compared in one task: two tiles of so many at most.
+TILE = 2048
+#: A larger crowd is first parted by longer bands.
+CROWD = 8 * TILE
+
+
+def crowd_links(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """left: (bucket, id, root). Links (a, b) by exact similarity that join what all links within the buckets, across roots, would join.
+
+    A bucket is cut into tiles by a hash of id, and every two tiles meet in a task that multiplies their members' shingle matrices and gives
+    a spanning forest of the links, one fewer than its members at most. Crowds of over CROWD members are cut by bands of eight rows before
+    that, which a link shares with a chance of 0.998, so a member isn't sent to a number of tiles that grows with the corpus.
+    """
+    sizes = left.groupBy("bucket").agg(F.count("*").alias("n"))
+    sized = cut(left.join(sizes.hint("merge"), "bucket"))
+    huge = sized.where(F.col("n") > CROWD).select("id", "root").distinct()
+    if not huge.isEmpty():
+        longer = MinHash(*tune_bands(similarity, 0.998, 8), seed=11)
+        parted = banded(sets.join(huge.select(F.col("id").alias("text_hash")), "text_hash"), longer).join(huge, "id").select("bucket", "id", "root")
+        counts = parted.groupBy("bucket").agg(F.count("*").alias("n"), F.countDistinct("root").alias("k")).where("k > 1").select("bucket", "n")
+        sized = sized.where(F.col("n") <= CROWD).unionByName(parted.join(counts.hint("merge"), "bucket").select("bucket", "id", "root", "n"))
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    own = sized.withColumn("k", tiles).withColumn("t", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")
+    dealt = own.select("bucket", "id", "root", "t", other).select("bucket", F.least("t", "o").alias("lo"), F.greatest("t", "o").alias("hi"), "id", "root", "t")
+    full = dealt.join(sets.select(F.col("text_hash").alias("id"), "set"), "id")
+    return full.groupBy("bucket", "lo", "hi").applyInArrow(lambda table: tile_links(table, similarity), "a bigint, b bigint").distinct()
+
+
+def tile_links(table: pa.Table, similarity: float, columns: int = 4096) -> pa.Table:
+    """The members of one tile, or of two, to a spanning forest of their links across roots."""
+    ids, roots = table.column("id").to_numpy(), table.column("root").to_numpy()
+    lists = table.column("set").combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    kinds, at, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(ids)), sizes)
+    shared = times[at] > 1  # what one member has alone is in no intersection
+    place = np.cumsum(times > 1) - 1
+    row, column = row[shared], place[at[shared]]
+    common = np.zeros((len(ids), len(ids)), dtype=np.float32)
+    for first in range(0, int((times > 1).sum()), columns):
+        inside = (column >= first) & (column < first + columns)
+        part = np.zeros((len(ids), columns), dtype=np.float32)
+        part[row[inside], column[inside] - first] = 1
+        used = part.any(axis=1)
+        common[np.ix_(used, used)] += part[used] @ part[used].T
+    linked = np.triu(common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-4, 1)
+    linked &= roots[:, None] != roots[None, :]
+    parent = {int(r): int(r) for r in roots}
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in np.argwhere(linked).tolist():
+        x, y = top(int(roots[i])), top(int(roots[j]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
 def one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
