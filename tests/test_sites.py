@@ -30,6 +30,21 @@ def test_own_extractor():
     assert none["extractor_type"] is None and none["content"] == "<p>x</p>"
 
 
+def test_registered_extractors(spark):
+    import webextract as w
+
+    w.register_extractor("wiki", ("wiki.test", r"re:/w/\d+$"), lambda tree, url, items: {"content_html": "<p>from wiki</p>", "extracted": {}, "variables": {"title": "W"}})
+    try:
+        assert w.registered_extractors()[-1][0] == "wiki"
+        pages = spark.createDataFrame([(1, "https://a.wiki.test/x", "<p>x</p>"), (2, "https://b.test/w/12", "<p>x</p>"), (3, "https://b.test/", "<p>x</p>")], "page_id bigint, url string, html string")
+        assert {r.page_id: r.extractor_type for r in w.extract(pages).collect()} == {1: "wiki", 2: "wiki", 3: None}
+    finally:
+        w.clear_extractors()
+    assert len(w.registered_extractors()) == len(BUILTIN)
+    text = w.summary(extract_page("<article><p>Some words</p><div style='display:none'>no</div></article>", "", Options(debug=True)))
+    assert "Main content: article" in text and "Removed (hidden): no" in text and w.summary({}) == ""
+
+
 def site(name, html, url, items=()):
     return x.extract_site(name, html, url, list(items))
 

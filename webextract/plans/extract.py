@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +27,33 @@ SCHEMA = (
 CONTRACT = {"word_count": "wordCount", "content_markdown": "contentMarkdown", "extractor_type": "extractorType", "meta_tags": "metaTags", "schema_org_data": "schemaOrgData", "debug_info": "debugInfo"}
 
 
+_REGISTERED: list[tuple[str, tuple, object]] = []
+
+
+def register_extractor(name: str, patterns: tuple[str, ...], function) -> None:
+    """A site extractor for all later extractions of this session, after the built-in ones and those registered before.
+
+    function(tree, url, schema items) gives {content_html, extracted, variables}, or None to pass; it is sent to the executors.
+    """
+    _REGISTERED.append((name, tuple(patterns), function))
+
+
+def registered_extractors() -> tuple[tuple[str, tuple], ...]:
+    """Names and patterns of all rules, in the order in which they are tried."""
+    return routing.BUILTIN + tuple((n, p) for n, p, _ in _REGISTERED)
+
+
+def clear_extractors() -> None:
+    """Forgets the registered ones."""
+    _REGISTERED.clear()
+
+
+def _with_registered(options: Options | None) -> Options:
+    options = merge_options(options)
+    new = tuple(r for r in _REGISTERED if r not in options.extractors)
+    return replace(options, extractors=options.extractors + new) if new else options
+
+
 def _attempt(document: Node, meta: dict, options: Options) -> tuple[str, int, dict]:
     """Content, its words, and what was done. Changes the document."""
     before = sum(1 for n in document.walk() if n.kind == "element")
@@ -68,7 +96,7 @@ def _attempt(document: Node, meta: dict, options: Options) -> tuple[str, int, di
 
 def extract_page(html: str | None, url: str | None = "", options: Options | None = None) -> dict:
     """The result record of one page; options None are the defaults, with both selector passes on."""
-    options = merge_options(options)
+    options = _with_registered(options)
     html, url = html or "", options.url or url or ""
     document = parse(html)
     items, tags = metadata.schema_items(document), metadata.meta_tags(document)
@@ -100,8 +128,6 @@ def extract_page(html: str | None, url: str | None = "", options: Options | None
 
 
 def _without_partial(options: Options) -> Options:
-    from dataclasses import replace
-
     return replace(options, remove_partial_selectors=False)
 
 
@@ -116,7 +142,8 @@ def extract(pages: DataFrame, options: Options | None = None) -> DataFrame:
     options.max_html_chars.
     """
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
-    most = options.max_html_chars if options else None
+    options = _with_registered(options)
+    most = options.max_html_chars
     # Only the types of the schema's columns are needed on the executors.
     schema = f"page_id {kinds['page_id']}, url {kinds['url']}, {SCHEMA}"
     types = _arrow_types(pages.sparkSession)
@@ -148,6 +175,20 @@ def to_contract_json(results: DataFrame) -> DataFrame:
     return results.select("page_id", F.to_json(F.struct(*fields)).alias("json"))
 
 
+def summary(record: dict) -> str:
+    """What was done to a page, as lines of text; '' without debug information."""
+    facts = record.get("debug_info")
+    if not facts:
+        return ""
+    lines = [f"Extractor: {facts.get('extractor_used') or 'none'}", f"Main content: {facts.get('main_content', '')}"]
+    lines += [f"{name.replace('_', ' ').capitalize()}: {facts[name]}" for name in ("elements_before", "elements_after", "elements_removed", "images", "links", "words", "characters") if name in facts]
+    lines += [f"Step {i}: {step}" for i, step in enumerate(facts.get("steps", []), 1)]
+    lines += [f"Removed ({r['reason']}{' ' + r['selector'] if r['selector'] else ''}): {r['text']}" for r in facts.get("removed", [])]
+    if "parse_time" in record:
+        lines.append(f"Parse time: {record['parse_time']} ms")
+    return "\n".join(lines)
+
+
 def timed_page(html: str, url: str = "", options: Options | None = None) -> dict:
     start = time.perf_counter()
     return extract_page(html, url, options) | {"parse_time": int((time.perf_counter() - start) * 1000)}
