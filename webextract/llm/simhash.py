@@ -237,7 +237,7 @@ def set_links(
         common = F.size(F.array_intersect("sa", "sb"))
         return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
-    return bucket_links(met, weights, lambda pairs: exact(pairs if pairs is few else prefilter(pairs)), large, leaders=2, work=8, crowd=lambda left: crowd_links(left, sets, similarity), few=few)
+    return bucket_links(met, weights, lambda pairs: exact(pairs if pairs is few else prefilter(pairs)), large, crowd=lambda left: crowd_links(left, sets, similarity), few=few)
 
 
 #: Members of a crowd whose sets are compared in one task: two tiles of so many at most.
