@@ -241,9 +241,9 @@ def set_links(
 
 
 #: Members of a crowd whose sets are compared in one task: two tiles of so many at most.
-TILE = 2048
+TILE = 1024
 #: A larger crowd is first parted by longer bands.
-CROWD = 8 * TILE
+CROWD = 16 * TILE
 
 
 def crowd_links(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -286,8 +286,6 @@ def tile_links(table: pa.Table, similarity: float, columns: int = 4096) -> pa.Ta
         part[row[inside], column[inside] - first] = 1
         used = part.any(axis=1)
         common[np.ix_(used, used)] += part[used] @ part[used].T
-    linked = np.triu(common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-4, 1)
-    linked &= roots[:, None] != roots[None, :]
     parent = {int(r): int(r) for r in roots}
 
     def top(x: int) -> int:
@@ -297,11 +295,16 @@ def tile_links(table: pa.Table, similarity: float, columns: int = 4096) -> pa.Ta
         return x
 
     out = []
-    for i, j in np.argwhere(linked).tolist():
-        x, y = top(int(roots[i])), top(int(roots[j]))
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
+    for begin in range(0, len(ids), 128):
+        part = common[begin : begin + 128]
+        linked = part >= similarity * (sizes[begin : begin + 128, None] + sizes[None, :] - part) - 1e-4
+        linked &= roots[begin : begin + 128, None] != roots[None, :]
+        for i, j in np.argwhere(linked).tolist():
+            i += begin
+            x, y = top(int(roots[i])), top(int(roots[j]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 

@@ -29,7 +29,7 @@ from webextract.llm.huffman import Coder, code_lengths
 
 BLOCK_IDS = 1 << 18
 #: Words that an encoder remembers; about 200 bytes each. When there are more, those of up to SHORT characters stay, the commoner ones.
-MEMORY, SHORT = 1_200_000, 8
+MEMORY, SHORT = 500_000, 8
 
 
 def byte_letters() -> dict[int, str]:
