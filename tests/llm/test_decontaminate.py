@@ -59,6 +59,15 @@ def test_finds_what_brute_force_finds(spark, block_items):
     assert clean == {i for i, _ in docs} - {i for i, _ in got}
 
 
+def test_finds_what_was_copied_into_many_documents(spark):
+    # Half of the documents hold the same passage, so all of its words are too common to weigh anything.
+    items = [(i, prose(20)) for i in range(30)]
+    docs = [(i, f"{prose(40)} {items[7][1]} {prose(40)}" if i % 2 else prose(80)) for i in range(300)]
+    frames = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in d.contaminated(*frames).collect()}
+    assert got == {(i, 7) for i in range(1, 300, 2)}
+
+
 def test_common_subsequence():
     def plain(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

@@ -6,6 +6,9 @@
 3. Every document is cut into windows of 32, 64 and 128 words at every 16th one. A window's cosine with an item is taken in the latent
    space, over the window's whole norm. A window whose share of weight on the items' words is below the square of the least cosine isn't
    projected: only words that repeat in it could lift it to that.
+   Words that are in very many documents weigh nothing there, so neighbouring words are looked up exactly as well, without weights: where a
+   document has as many of an item's word pairs, close together, as must be left when only replaced or dropped words lower the common
+   subsequence to its limit, it is a candidate too. So passages with such edits are found however often they were copied.
 4. Candidates are verified on the words around the window: the answer check (the item's rarest words, on which an answer turns, must be
    there), then the longest common subsequence with the item, over the item's length.
 
@@ -110,8 +113,20 @@ class Block:
     share: np.ndarray  # of each item's squared norm that the space holds
     rare: list[set[bytes]]
     masks: list[dict[bytes, int]] = field(default_factory=list)
+    #: Word pairs of the items, ascending (place of the first times the number of places, plus place of the second); the items of pair k
+    #: are pair_items[pair_ends[k - 1] : pair_ends[k]].
+    pairs: np.ndarray = field(init=False)
+    pair_ends: np.ndarray = field(init=False)
+    pair_items: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
+        hashed, size = Hasher(), len(self.basis)
+        at = [self.place[hashed(words)].astype(np.int64) for words in self.words]
+        owned = [np.unique(x[:-1] * size + x[1:]) for x in at]
+        codes, items = np.concatenate(owned), np.repeat(np.arange(len(owned)), [len(x) for x in owned])
+        order = np.argsort(codes, kind="stable")
+        self.pairs, times = np.unique(codes, return_counts=True)
+        self.pair_ends, self.pair_items = np.cumsum(times), items[order]
         for words in self.words:
             at: dict[bytes, int] = {}
             for i, w in enumerate(words):
@@ -161,6 +176,35 @@ def latent_basis(passages: DataFrame, weight: np.ndarray, place: np.ndarray, dim
     return (q @ vectors[:, keep[values[keep] > 1e-9]]).astype(np.float32)
 
 
+def pair_runs(buckets: np.ndarray, doc_of: np.ndarray, block: Block, limits: Limits) -> Iterator[tuple[int, int]]:
+    """(place in buckets, item) wherever enough of an item's word pairs follow within twice its length, at every quarter of the item at most.
+
+    buckets: of the words of several documents, in a row; doc_of: each word's document. A replaced or dropped word takes two pairs away.
+    """
+    at = block.place[buckets].astype(np.int64)
+    both = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0) & (doc_of[:-1] == doc_of[1:]))
+    codes = at[both] * len(block.basis) + at[both + 1]
+    k = np.minimum(np.searchsorted(block.pairs, codes), len(block.pairs) - 1)
+    same = block.pairs[k] == codes
+    k, both = k[same], both[same]
+    times = np.diff(block.pair_ends, prepend=0)[k]
+    spot = np.repeat(both, times)
+    item = block.pair_items[np.repeat(block.pair_ends[k] - np.cumsum(times), times) + np.arange(len(spot))]
+    order = np.argsort(item * len(buckets) + spot)
+    spot, item = spot[order], item[order]
+    size = np.array([len(w) for w in block.words])
+    least = np.maximum(size - 1 - 2 * np.floor((1 - limits.lcs) * size + 1e-9).astype(np.int64), 1)
+    last = np.arange(len(spot)) + least[item] - 1
+    inside = last < len(spot)
+    spot_of, end, kind = spot[inside], last[inside], item[inside]
+    good = (item[end] == kind) & (doc_of[spot[end]] == doc_of[spot_of]) & (spot[end] - spot_of <= 2 * size[kind])
+    before = (-1, -1)
+    for x, i in zip(spot_of[good].tolist(), kind[good].tolist()):
+        if before[1] != i or x - before[0] > len(block.words[i]) // 4:
+            before = (x, i)
+            yield before
+
+
 def index_block(items: DataFrame, weight: np.ndarray, limits: Limits) -> Block | None:
     """items: item_id, text."""
     rows = sorted(items.select("item_id", "text").collect(), key=lambda r: (r["item_id"] is not None, r["item_id"], r["text"] or ""))
@@ -192,9 +236,48 @@ def find(docs: list[list[bytes]], hashed: Hasher, weight: np.ndarray, block: Blo
     buckets = np.concatenate([hashed(docs[i]) for i in some])
     sizes = np.array([len(docs[i]) for i in some])
     firsts = np.cumsum(sizes) - sizes
+    tried: set[tuple[int, int, int, int]] = set()
+
+    def verify(doc: int, item: int, low: int, high: int, cosine: Callable[[], float]) -> None:
+        """Looks for the item in the words from low to high of a document of `some`."""
+        if (doc, item, low, high) in tried:
+            return
+        tried.add((doc, item, low, high))
+        near_words = docs[some[doc]][max(low, 0) : high]
+        answer = len(block.rare[item].intersection(near_words)) / len(block.rare[item])
+        if answer < limits.answer:
+            return
+        size = len(block.words[item])
+        lcs = common_subsequence(block.masks[item], size, near_words) / size
+        if lcs >= limits.lcs:
+            got, old = (cosine(), lcs, answer), best[some[doc]].get(item)
+            if old is None or (got[1], got[0]) > (old[1], old[0]):
+                best[some[doc]][item] = got
+
+    for doc, item, low, high, cosine in near_windows(buckets, sizes, firsts, weight, block, limits):
+        verify(doc, item, low - len(block.words[item]), high + len(block.words[item]), lambda: cosine)
+    doc_of = np.repeat(np.arange(len(some)), sizes)
+    for x, item in pair_runs(buckets, doc_of, block, limits):
+        doc, size = int(doc_of[x]), len(block.words[item])
+        if item not in best[some[doc]]:
+            at = x - int(firsts[doc])
+            verify(doc, item, at - size, at + 2 * size + 2, lambda: passage_cosine(buckets[x : int(min(x + size, firsts[doc] + sizes[doc]))], weight, block, item))
+    return [[(block.ids[i], *x) for i, x in sorted(found.items())] for found in best]
+
+
+def passage_cosine(buckets: np.ndarray, weight: np.ndarray, block: Block, item: int) -> float:
+    """Cosine of some words with an item in the latent space, over the words' whole norm; 0 where they weigh nothing."""
+    kinds, n = np.unique(buckets, return_counts=True)
+    x = n * weight[kinds]
+    own = block.place[kinds] >= 0
+    return float((x[own] @ block.basis[block.place[kinds[own]]]) @ block.latent[item] / max(float(np.linalg.norm(x)), 1e-9))
+
+
+def near_windows(buckets: np.ndarray, sizes: np.ndarray, firsts: np.ndarray, weight: np.ndarray, block: Block, limits: Limits) -> Iterator[tuple[int, int, int, int, float]]:
+    """(document, item, first word, word after the last, cosine) of the windows near an item in the latent space."""
     # Steps of up to 16 words; a document's last one may be shorter.
     steps = -(-sizes // STEP)
-    of_doc = np.repeat(np.arange(len(some)), steps)
+    of_doc = np.repeat(np.arange(len(sizes)), steps)
     stop = np.repeat(np.cumsum(steps), steps)  # the step after the document's last one
     inner = np.arange(len(of_doc)) - np.repeat(np.cumsum(steps) - steps, steps)
     starts = firsts[of_doc] + inner * STEP
@@ -213,7 +296,7 @@ def find(docs: list[list[bytes]], hashed: Hasher, weight: np.ndarray, block: Blo
         np.add.at(cover, ends[c], -1)
     needed = np.cumsum(cover[:-1]) > 0
     if not needed.any():
-        return [[] for _ in docs]
+        return
     place = np.cumsum(needed) - needed  # of a needed step among the needed ones; a window's steps are all needed
     place = np.append(place, needed.sum())
     step_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(buckets))))
@@ -223,7 +306,6 @@ def find(docs: list[list[bytes]], hashed: Hasher, weight: np.ndarray, block: Blo
     projected = np.zeros((int(needed.sum()), block.basis.shape[1]))
     projected[rows[edges]] = np.add.reduceat(block.basis[at[tokens]] * w[tokens, None], edges, axis=0)
     projected = running(projected)
-    tried: set[tuple[int, int, int, int]] = set()
     for c, ends, whole in chosen:
         u = projected[np.where(ends > 0, place[ends - 1] + 1, 0)] - projected[place[c]]
         near = np.linalg.norm(u, axis=1) >= limits.cosine * np.sqrt(whole)
@@ -235,21 +317,8 @@ def find(docs: list[list[bytes]], hashed: Hasher, weight: np.ndarray, block: Blo
         norm = np.array([np.linalg.norm(k * weight[kinds]) for kinds, k in (np.unique(buckets[x:y], return_counts=True) for x, y in zip(starts[c].tolist(), last.tolist()))])
         cosine = (u @ block.latent.T) / norm[:, None]
         for i, item in np.argwhere(cosine >= limits.cosine).tolist():
-            doc, size = int(of_doc[c[i]]), len(block.words[item])
-            low, high = int(starts[c[i]] - firsts[doc]) - size, int(last[i] - firsts[doc]) + size
-            if (doc, item, low, high) in tried:
-                continue
-            tried.add((doc, item, low, high))
-            near_words = docs[some[doc]][max(low, 0) : high]
-            answer = len(block.rare[item].intersection(near_words)) / len(block.rare[item])
-            if answer < limits.answer:
-                continue
-            lcs = common_subsequence(block.masks[item], size, near_words) / size
-            if lcs >= limits.lcs:
-                got, old = (float(cosine[i, item]), lcs, answer), best[some[doc]].get(item)
-                if old is None or (got[1], got[0]) > (old[1], old[0]):
-                    best[some[doc]][item] = got
-    return [[(block.ids[i], *x) for i, x in sorted(found.items())] for found in best]
+            doc = int(of_doc[c[i]])
+            yield doc, item, int(starts[c[i]] - firsts[doc]), int(last[i] - firsts[doc]), float(cosine[i, item])
 
 
 def index(docs: DataFrame, benchmark: DataFrame, limits: Limits) -> tuple[np.ndarray, list[Block]]:
