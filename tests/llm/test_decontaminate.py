@@ -68,6 +68,17 @@ def test_finds_what_was_copied_into_many_documents(spark):
     assert got == {(i, 7) for i in range(1, 300, 2)}
 
 
+def test_finds_short_and_loosened_passages_of_a_large_benchmark(spark):
+    # A word put in after every one leaves no word pair; the latent space must find these.
+    loose = lambda text: " ".join(f"{w} {prose(1)}" for w in text.split())
+    items = [(i, prose(6 + i % 9 if i % 2 else 48)) for i in range(512)]
+    docs = [(i, f"{prose(16)} {text if i % 2 else loose(text)} {prose(16)}") for i, text in items]
+    frames = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in d.contaminated(*frames).collect()}
+    assert {(i, i) for i in range(1, 512, 2)} <= got
+    assert sum((i, i) in got for i in range(0, 512, 2)) >= 250
+
+
 def test_common_subsequence():
     def plain(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

@@ -4,7 +4,8 @@
 2. A distributed randomised SVD of the benchmark's TF-IDF passages (power iterations on the Gram matrix, each a pass over the passages)
    gives the latent space; it is fitted on all items of a block of the benchmark, and every item is indexed in it.
 3. Every document is cut into windows of 32, 64 and 128 words at every 16th one. A window's cosine with an item is taken in the latent
-   space, over the window's whole norm. A window whose share of weight on the items' words is below the square of the least cosine isn't
+   space, over the window's whole norm, and is held against the least cosine times what the space holds of the item's norm: a copy of the
+   item has no larger one. A window whose share of weight on the items' words is below the square of the least cosine isn't
    projected: only words that repeat in it could lift it to that.
    Words that are in very many documents weigh nothing there, so neighbouring words are looked up exactly as well, without weights: where a
    document has as many of an item's word pairs, close together, as must be left when only replaced or dropped words lower the common
@@ -47,8 +48,9 @@ class Limits:
     min_words: int = 5
     #: Of an item's different words, the share that counts as the rarest.
     rare: float = 0.34
-    dimensions: int = 192
-    block_items: int = 512
+    #: As many as a block has items on average, so that the space holds nearly all of each.
+    dimensions: int = 256
+    block_items: int = 256
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -286,6 +288,7 @@ def near_windows(buckets: np.ndarray, sizes: np.ndarray, firsts: np.ndarray, wei
     squares = w.astype(np.float64) ** 2
     running = lambda x: np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0)])
     energy, on_items = running(np.add.reduceat(squares, starts)), running(np.add.reduceat(np.where(at >= 0, squares, 0), starts))
+    least = limits.cosine * np.sqrt(block.share)
     chosen, cover = [], np.zeros(len(starts) + 1, dtype=np.int64)
     for n in WINDOWS:
         ends = np.minimum(np.arange(len(starts)) + n, stop)
@@ -308,7 +311,7 @@ def near_windows(buckets: np.ndarray, sizes: np.ndarray, firsts: np.ndarray, wei
     projected = running(projected)
     for c, ends, whole in chosen:
         u = projected[np.where(ends > 0, place[ends - 1] + 1, 0)] - projected[place[c]]
-        near = np.linalg.norm(u, axis=1) >= limits.cosine * np.sqrt(whole)
+        near = np.linalg.norm(u, axis=1) >= least.min() * np.sqrt(whole)
         c, ends, u = c[near], ends[near], u[near]
         if not len(c):
             continue
@@ -316,7 +319,7 @@ def near_windows(buckets: np.ndarray, sizes: np.ndarray, firsts: np.ndarray, wei
         # Repeated words weigh by their number; only windows that come this far are counted out.
         norm = np.array([np.linalg.norm(k * weight[kinds]) for kinds, k in (np.unique(buckets[x:y], return_counts=True) for x, y in zip(starts[c].tolist(), last.tolist()))])
         cosine = (u @ block.latent.T) / norm[:, None]
-        for i, item in np.argwhere(cosine >= limits.cosine).tolist():
+        for i, item in np.argwhere((cosine >= least) & (block.share > 1e-6)).tolist():
             doc = int(of_doc[c[i]])
             yield doc, item, int(starts[c[i]] - firsts[doc]), int(last[i] - firsts[doc]), float(cosine[i, item])
 
