@@ -50,7 +50,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     except AnalysisException:
         order = None
     out = Workspace(spark).path
-    token_output.write_ids(docs, out, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN, order=order)
+    token_output.write_ids(docs, out, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN, order=order, added=True)
     return token_output.read_ids(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -52,6 +52,17 @@ def test_pieces_give_the_library_s_ids():
         assert np.frombuffer(packed, encoder.type).tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_as_in_the_library_s_default_settings():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(PATH)
+    texts = [*TEXTS, "a <|endoftext|> b", "<|endoftext|><|endoftext|>\n", "<|endoftext", " plain again"]
+    encoder = token_output.PieceEncoder(PATH, PATTERN, added=True)
+    for text, packed in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(packed, encoder.type).tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert 50256 in np.frombuffer(encoder.encode(["a <|endoftext|> b"])[0], encoder.type)
+
+
 def test_files_hold_every_document(spark, tmp_path):
     from tokenizers import Tokenizer
 

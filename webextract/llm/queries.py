@@ -61,7 +61,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_b
     import public_tokenizers
 
     out = Workspace(spark).path
-    token_output.write_ids(_table(spark, sf_dir, "documents"), out, public_tokenizers.path(tokenizer), public_tokenizers.PATTERN)
+    token_output.write_ids(_table(spark, sf_dir, "documents"), out, public_tokenizers.path(tokenizer), public_tokenizers.PATTERN, added=True)
     return token_output.read_ids(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

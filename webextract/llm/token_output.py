@@ -7,7 +7,8 @@ documents' ids as uint32, checkpoints the bit offsets of every 128th id as uint3
 each stretch after a checkpoint too. All numbers are little-endian.
 
 Ids come from the tokenizers library. It cuts a text into pieces by a pattern first and merges within pieces only, so its model merges each
-new piece once and the ids are kept in a bounded memory for the next time; whole texts take it over twice as long.
+new piece once and the ids are kept in a bounded memory for the next time; whole texts take it over twice as long. With added=True, as the
+query and the pipeline have it, texts that contain an added token's content go to the library whole, so ids are those of its default settings.
 
 Defined results. A null text is an empty one: only the end id. Documents are in ascending order of doc_id, null doc_ids first, ties in the
 order of their texts' hash. Repeated rows come out repeatedly. An empty table gives an empty one. One document lies in one block.
@@ -40,9 +41,10 @@ def byte_letters() -> dict[int, str]:
 
 
 class PieceEncoder:
-    """Ids of texts by pieces. pattern: what the tokenizer's own pre-tokenizer, a byte-level one, cuts by."""
+    """Ids of texts by pieces. pattern: what the tokenizer's own pre-tokenizer, a byte-level one, cuts by. added: the contents of
+    added tokens in a text are these tokens, else ordinary text."""
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, added: bool = False) -> None:
         import regex
         from tokenizers import Tokenizer
 
@@ -51,6 +53,7 @@ class PieceEncoder:
         self.type = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.cut = regex.compile(pattern).findall
         self.merge, self.letters, self.kind = self.tokenizer.model.tokenize, byte_letters(), "H" if self.type.itemsize == 2 else "I"
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values()) if added else ()
         #: Of words, without the space before them, and of other pieces.
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -70,10 +73,14 @@ class PieceEncoder:
         return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text. The strings of special tokens are ordinary text.
+        """Packed ids of each text.
 
         The pattern always cuts before a space that a word follows, so a text without other spaces is its words with the spaces before them.
         """
+        if self.added and any(a in t for t in texts for a in self.added):
+            whole = [any(a in t for a in self.added) for t in texts]
+            others = iter(self.encode([t for t, w in zip(texts, whole) if not w]))
+            return [array(self.kind, self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if w else next(others) for t, w in zip(texts, whole)]
         if len(self.known) > MEMORY:
             self.known = {p: x for p, x in self.known.items() if len(p) <= SHORT}
             if len(self.known) > MEMORY // 2:
@@ -95,16 +102,16 @@ class PieceEncoder:
         return out
 
 
-_ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, str, bool], PieceEncoder] = {}
 
 
-def _encoder(path: str, pattern: str) -> PieceEncoder:
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = PieceEncoder(path, pattern)
-    return _ENCODERS[path, pattern]
+def _encoder(path: str, pattern: str, added: bool) -> PieceEncoder:
+    if (path, pattern, added) not in _ENCODERS:
+        _ENCODERS[path, pattern, added] = PieceEncoder(path, pattern, added)
+    return _ENCODERS[path, pattern, added]
 
 
-def id_blocks(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, order: list[Column]) -> DataFrame:
+def id_blocks(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, order: list[Column], added: bool) -> DataFrame:
     """part, block, doc_ids, counts, ids: whole documents in the order given, a part for each partition; its block -1 has, as counts, how
     often each id of the vocabulary occurs in it."""
     kind = docs.schema["doc_id"].dataType
@@ -115,7 +122,7 @@ def id_blocks(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, order:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, block = _encoder(tokenizer, pattern), TaskContext.get().partitionId(), 0
+        encoder, part, block = _encoder(tokenizer, pattern, added), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype=encoder.type).tobytes()
         ids: list = []
         packed: list[bytes] = []
@@ -149,12 +156,12 @@ def id_blocks(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, order:
     return dealt.mapInArrow(run, "part int, block int, doc_ids array<bigint>, counts binary, ids binary")
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int = 2, order: list[Column] | None = None) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int = 2, order: list[Column] | None = None, added: bool = False) -> None:
     """Encodes docs (doc_id, text) and writes the format to `path`; by default in ascending order of doc_id."""
     spark, space = docs.sparkSession, Workspace(docs.sparkSession)
-    encoder = _encoder(tokenizer, pattern)
+    encoder = _encoder(tokenizer, pattern, added)
     kind, most = encoder.type.str, max(encoder.size, end_id + 1)
-    saved = space.save(id_blocks(docs, tokenizer, pattern, end_id, order or [F.col("doc_id")]), "ids", "snappy")
+    saved = space.save(id_blocks(docs, tokenizer, pattern, end_id, order or [F.col("doc_id")], added), "ids", "snappy")
     plain = saved.where("block >= 0")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
