@@ -87,6 +87,53 @@ def test_ring_condition_never_loses_a_pair():
         assert any(not (x >> 16 * ((i + 1) % 4) + 8 * half & 0xFF) for i in starts for half in (0, 1))
 
 
+def test_keys_of_any_depth_are_shared_by_all_near_pairs(spark):
+    from pyspark.sql import functions as F
+
+    prints = [int(x) for x in DRAW.integers(-(1 << 63), 1 << 63, 400)]
+    pairs = [(f, f ^ int(np.bitwise_or.reduce(np.int64(1) << DRAW.choice(63, DRAW.integers(0, 4), replace=False), initial=0))) for f in prints]
+    frame = spark.createDataFrame(pairs, "a bigint, b bigint")
+    for depth, ways in ((2, 8), (3, 24), (4, 96)):
+        got = frame.select(F.size(F.array_distinct(simhash.keys(F.col("a"), depth))).alias("n"), F.arrays_overlap(simhash.keys(F.col("a"), depth), simhash.keys(F.col("b"), depth)).alias("met")).collect()
+        assert {r.n for r in got} == {ways} and all(r.met for r in got)
+
+
+@pytest.mark.parametrize("few", [0, 3, 1000])
+def test_components_by_joins_and_in_one_task_are_the_same(spark, few):
+    from webextract.llm.components import connected_components
+
+    edges = [(int(a), int(b)) for a, b in DRAW.integers(0, 300, (180, 2))] + [(1000, k) for k in range(1001, 1060)] + [(k, k + 1) for k in range(2000, 2040)]
+    ids = sorted({x for e in edges for x in e})
+    near = {i: {i} for i in ids}
+    for a, b in edges:
+        near[a].add(b), near[b].add(a)
+    want = {}
+    for i in ids:
+        if i not in want:
+            todo, seen = [i], {i}
+            while todo:
+                todo += [y for y in near[todo.pop()] if y not in seen and not seen.add(y)]
+            want |= dict.fromkeys(seen, min(seen))
+    got = {r.id: r.root for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), few).collect()}
+    lonely = {i for i in ids if near[i] == {i}}
+    assert got == {i: r for i, r in want.items() if i not in lonely}
+
+
+def test_near_duplicates_by_any_kind_of_edit(spark):
+    """Every pair at the limit or above: scattered edits, blocks put in front or behind, cut tails, and mixtures."""
+    base = [prose(int(n)) for n in DRAW.integers(30, 400, 60)]
+    texts = list(base)
+    for t in base:
+        words, n = t.split(), len(t.split())
+        texts += [t + " " + prose(max(1, n // 6)), prose(max(1, n // 8)) + " " + t, " ".join(words[: n - n // 7]), edited(t, max(1, n // 60)), edited(" ".join(words[n // 12 :]), max(1, n // 90))]
+    sets = [frozenset(simhash.shingle_hashes(t, 5)) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if i % 60 == j % 60 or (i - 60) // 5 == j or (i - 60) // 5 == (j - 60) // 5]
+    pairs = [(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert len(pairs) > 150
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.98 * len(pairs)
+
+
 def test_near_duplicates_and_one_of_each(spark):
     base = [prose(300) for _ in range(12)]
     data = [(i, t) for i, t in enumerate(base)] + [(100 + i, edited(t, 3)) for i, t in enumerate(base)] + [(200 + i, t) for i, t in enumerate(base[:5])]

@@ -2,40 +2,79 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webextract.llm.common import Workspace, cut, release
+from webextract.llm.common import Workspace, cut
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """edges: (a, b). Returns (id, root) for every id in edges, root being the least id of its component.
+#: Edges that one task takes to the end; more are contracted by joins first.
+FEW = 500_000
 
-    Each round every root hooks to the least root that it has an edge to, the hooks are followed once more, and the edges are contracted
-    to the new roots; they shrink until none is left. No step gathers a component or a root's edges in one task: the minima are partial
-    aggregates. The least id of a component never hooks, so it is the root at the end. The joins are merge joins, so that the many small
-    ones of late rounds leave nothing in the driver's memory.
+
+def least_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the edges (a, b), and the least id of each one's component."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while True:
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        apart = low < high
+        if not apart.any():
+            return ids, ids[root]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if parts:
+        ids, roots = least_roots(*(np.concatenate(x) for x in zip(*parts)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(roots, pa.int64())], names=["id", "root"])
+
+
+def connected_components(edges: DataFrame, few: int = FEW, rounds: int = 100) -> DataFrame:
+    """edges: (a, b), bigint. Returns (id, root) for every id in edges, root being the least id of its component.
+
+    While there are more than `few` edges, they are contracted: in an order of the ids that is drawn anew each round, every id hooks to the
+    least one among itself and its neighbours, the hooks are followed once more, and edges go to the new ids. As the order is random, long
+    paths shrink by a constant share too. No such step gathers a component or an id's edges in one task: the minima are partial aggregates,
+    and the joins are between written tables, so that the adaptive skew join splits a hub. At most `few` edges are finished by one task
+    on an executor. All is in written tables, whose sizes Spark knows; estimates for checkpoints would multiply from join to join.
     """
-    edges = cut(edges.select("a", "b").where("a <> b").distinct())
-    ids = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    space = Workspace(edges.sparkSession)
+    edges = space.save(edges.select("a", "b").where("a <> b").distinct(), "edges0")
     levels: list[DataFrame] = []
-    for _ in range(rounds):
-        if edges.isEmpty():
-            labels = ids.withColumn("root", F.col("id"))
-            for hooks in levels:
-                labels = labels.join(hooks.hint("merge"), labels["root"] == hooks["old"], "left").select("id", F.coalesce("new", "root").alias("root"))
-            return cut(labels)
+    for k in range(rounds):
+        if edges.count() <= few:
+            break
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        once = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("old"), F.least("a", "m").alias("new"))
-        nxt = once.select(F.col("old").alias("new"), F.col("new").alias("newer"))
-        hooks = cut(once.join(nxt.hint("merge"), "new").select("old", F.col("newer").alias("new")))
+        order = lambda c: F.xxhash64(F.lit(k), c)
+        least = both.groupBy("a").agg(F.min(F.struct(order("b").alias("h"), "b")).alias("m"))
+        once = space.save(least.select(F.col("a").alias("old"), F.when(F.col("m.h") < order("a"), F.col("m.b")).otherwise(F.col("a")).alias("new")), f"once{k}")
+        hooks = space.save(once.join(once.select(F.col("old").alias("new"), F.col("new").alias("newer")).hint("merge"), "new").select("old", F.col("newer").alias("new")), f"hooks{k}")
         levels.append(hooks)
         x, y = (hooks.select(F.col("old").alias(c), F.col("new").alias(f"{c}_new")).hint("merge") for c in "ab")
-        edges = cut(edges.join(x, "a").join(y, "b").select(F.least("a_new", "b_new").alias("a"), F.greatest("a_new", "b_new").alias("b")).where("a <> b").distinct())
-    raise RuntimeError("the components did not settle")
+        edges = space.save(edges.join(x, "a").join(y, "b").select(F.least("a_new", "b_new").alias("a"), F.greatest("a_new", "b_new").alias("b")).where("a <> b").distinct(), f"edges{k + 1}")
+        space.drop(f"edges{k}")
+        space.drop(f"once{k}")
+    else:
+        raise RuntimeError("the components did not settle")
+    last = space.save(edges.repartition(1).mapInArrow(_finish, "id bigint, root bigint"), "last")
+    if not levels:
+        return last
+    # Every id is in the first hooks; the roots follow those of later rounds.
+    labels = levels[0].select(F.col("old").alias("id"), F.col("new").alias("root"))
+    for k, hooks in enumerate([*levels[1:], last.select(F.col("id").alias("old"), F.col("root").alias("new"))]):
+        labels = space.save(labels.join(hooks.hint("merge"), labels["root"] == hooks["old"], "left").select("id", F.coalesce("new", "root").alias("root")), f"labels{k}")
+    names = space.save(labels.groupBy("root").agg(F.min("id").alias("least")), "names")
+    return space.save(labels.join(names.hint("merge"), "root").select("id", F.col("least").alias("root")), "roots")
 
 
 def _pairs(x: DataFrame, y: DataFrame) -> DataFrame:
@@ -44,9 +83,12 @@ def _pairs(x: DataFrame, y: DataFrame) -> DataFrame:
 
 
 def collisions(members: DataFrame, space: Workspace, name: str = "collisions") -> DataFrame:
-    """members: (bucket, id). Returns (bucket, id, n), n being the different ids of the bucket, for buckets with two or more."""
-    dealt = members.select("bucket", "id").repartition("bucket").distinct()  # one exchange serves all of this
-    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    """members: (bucket, id), every such pair once. Returns (bucket, id, n), n being the ids of the bucket, for buckets with two or more.
+
+    The sizes are partial aggregates, and both sides of the join come from files, so a bucket of a third of all ids is split by Spark.
+    """
+    dealt = space.save(members.select("bucket", "id"), f"{name}-members")
+    sizes = space.save(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), f"{name}-sizes")
     return space.save(dealt.join(sizes.hint("merge"), "bucket").select("bucket", "id", "n"), name)
 
 
@@ -92,8 +134,7 @@ def bucket_links(
     everyone = rest = cut(rest.join(weights.hint("merge"), "id").select("bucket", "id", "weight", F.col("id").alias("root")))
     total, left = everyone.count(), 0
     for _ in range(leaders):
-        release(met.sparkSession)
-        heads = rest.groupBy("bucket").agg(F.max(F.struct("weight", "id", "root")).alias("h")).select("bucket", F.col("h.id").alias("x"), F.col("h.root").alias("rx"))
+        heads = cut(rest.groupBy("bucket").agg(F.max(F.struct("weight", "id", "root")).alias("h")).select("bucket", F.col("h.id").alias("x"), F.col("h.root").alias("rx")))
         star = everyone.select("bucket", F.col("id").alias("y"), F.col("root").alias("ry")).join(heads.hint("merge"), "bucket").where("rx <> ry")
         star = star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         found.append(cut(verify(star)))
@@ -114,11 +155,12 @@ def bucket_links(
 
 def _with_crowds(rest: DataFrame, verify: Callable[[DataFrame], DataFrame], crowd: Callable[[DataFrame], DataFrame], links: DataFrame) -> DataFrame:
     """The links of large buckets, (bucket, id), by a leader each and then by crowds; after the first join all is by id, not by bucket."""
-    heads = rest.groupBy("bucket").agg(F.min("id").alias("x"))
+    heads = cut(rest.groupBy("bucket").agg(F.min("id").alias("x")))
     star = rest.join(heads.hint("merge"), "bucket").where("id <> x").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
     star = cut(star.distinct())
     links = links.union(cut(verify(star)))
     groups = connected_components(star).select("id", F.col("root").alias("bucket"))
     joined = groups.join(connected_components(links).hint("merge"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    apart = joined.groupBy("bucket").agg(F.countDistinct("root").alias("k")).where("k > 1").select("bucket")
+    joined = cut(joined)
+    apart = cut(joined.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket"))
     return links.union(cut(crowd(joined.join(apart.hint("merge"), "bucket"))))

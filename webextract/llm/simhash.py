@@ -2,9 +2,10 @@
 
 A text's fingerprint has a bit where more than half of its shingles' hashes have it. A fingerprint is cut into four segments of 16 bits on
 a ring. If two fingerprints differ in at most 3 bits, some segment starts a chain of consecutive segments whose cumulative differences
-stay within the proportional budgets 0, 1, 2, 3 (three quarters of a bit a segment, rounded down). So that segment is equal, and of the
-two halves of the next one, which may hold one difference, one is equal: these 24 bits are the key under which candidates meet, in eight
-ways. The rest of the chain is checked on every candidate before the full Hamming distance.
+stay within the proportional budgets 0, 1, 2, 3 (three quarters of a bit a segment, rounded down). So that segment is equal, of the two
+halves of the next one, which may hold one difference, one is equal, of the three parts of the third one is, and of the four of the last.
+Candidates meet under keys of the first two segments of a chain, 24 bits in eight ways, and of three or four segments, up to 33 bits, where
+there are more fingerprints. The rest of the chain is checked on every candidate before the full Hamming distance.
 
 Equal fingerprints are one before any pair is made, so groups of copies cost nothing. A key with very many different fingerprints does
 not give all its pairs (see components.bucket_links).
@@ -18,11 +19,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webextract.llm.common import Workspace, cut, maybe_among, text_of
@@ -65,39 +67,45 @@ def _mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def fingerprints(docs: DataFrame, shingle: int, seed: int = 42, lanes: int = 1, keep: tuple[str, ...] = ("doc_id",), once: bool = False) -> DataFrame:
-    """`keep`, then f0, f1, ...: a fingerprint (bigint) for each lane. once: repeated shingles count once."""
-    source = docs.select(*keep, text_of(docs).alias("__text"))
-    names = [f"f{i}" for i in range(lanes)]
+def fingerprints(docs: DataFrame, shingle: int, seed: int = 42) -> DataFrame:
+    """doc_id, f0: the fingerprint (bigint)."""
+    source = docs.select("doc_id", text_of(docs).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[int]] = [[] for _ in names]
-            for text in batch.column(batch.num_columns - 1):
-                h = np.array(shingle_hashes(text.as_py(), shingle, seed), dtype=np.uint64)
-                h = np.unique(h) if once else h
-                for i, column in enumerate(out):
-                    column.append(majority(_mixed(h, i)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(x, pa.int64()) for x in out)], names=[*keep, *names])
+            out = [majority(np.array(shingle_hashes(text.as_py(), shingle, seed), dtype=np.uint64)) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["doc_id", "f0"])
 
-    kept = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
-    return source.mapInArrow(run, ", ".join([kept, *(f"{n} bigint" for n in names)]))
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, f0 bigint")
 
 
 def _segment(f: Column, i: int) -> Column:
     return F.shiftrightunsigned(f, WIDTH * (i % SEGMENTS)).bitwiseAND(F.lit(0xFFFF))
 
 
-def keys(f: Column) -> Column:
-    """The eight keys of a fingerprint: which segment, which half of the next, and their bits."""
+#: Into how many parts the segments of a chain are cut after the first one: one more than the differences that they may have.
+PARTS = ((16,), (8, 8), (6, 5, 5), (4, 4, 4, 4))
+
+
+def keys(f: Column, depth: int = 2) -> Column:
+    """The keys of a fingerprint: a segment, and of each of the depth - 1 segments after it one part. 2, 3 and 4 segments give 8, 24 and 96
+    keys of 24, 29 and 33 bits. Two fingerprints whose chain holds share one at any depth."""
     out = []
     for i in range(SEGMENTS):
-        for half in (0, 1):
-            bits = F.shiftleft(_segment(f, i), 8) + F.shiftrightunsigned(_segment(f, i + 1), 8 * half).bitwiseAND(F.lit(0xFF))
-            out.append(F.lit((2 * i + half) << 24).cast("long") + bits)
+        for which, parts in enumerate(product(*(range(len(PARTS[k])) for k in range(1, depth)))):
+            bits = _segment(f, i)
+            for k, part in enumerate(parts, 1):
+                at, width = sum(PARTS[k][:part]), PARTS[k][part]
+                bits = F.shiftleft(bits, width) + F.shiftrightunsigned(_segment(f, i + k), at).bitwiseAND(F.lit((1 << width) - 1))
+            out.append(F.lit((96 * i + which) << 40).cast("long") + bits)
     return F.array(*out)
 
 
+def depth_for(fingerprints: int) -> int:
+    """How many segments the keys have, so that unlike fingerprints seldom share one, whatever their number."""
+    return 2 + (fingerprints > 1 << 25) + (fingerprints > 1 << 30)
+
+
 def within_ring(a: Column, b: Column, bits: int = 3) -> Column:
     """Some segment starts a chain within the budgets; then the full distance."""
     x = a.bitwiseXOR(b)
@@ -114,7 +122,7 @@ def within_ring(a: Column, b: Column, bits: int = 3) -> Column:
 
 def fingerprint_links(distinct: DataFrame, space: Workspace, large: int = 128) -> DataFrame:
     """distinct: (f, weight). Links (a, b) that join every two fingerprints at most 3 bits apart that all links would join."""
-    members = distinct.select(F.explode(keys(F.col("f"))).alias("bucket"), F.col("f").alias("id"))
+    members = distinct.select(F.explode(keys(F.col("f"), depth_for(distinct.count()))).alias("bucket"), F.col("f").alias("id"))
     weights = distinct.select(F.col("f").alias("id"), "weight")
     return bucket_links(collisions(members, space), weights, lambda pairs: pairs.where(within_ring(F.col("a"), F.col("b"))), large)
 
@@ -126,29 +134,47 @@ def simhash_components(docs: DataFrame, shingle: int = 3, seed: int = 42) -> Dat
     space = Workspace(docs.sparkSession)
     roots = connected_components(fingerprint_links(distinct, space))
     space.drop()
-    classes = distinct.join(roots, distinct["f"] == roots["id"], "left").select("f", F.coalesce("root", "f").alias("root"), "least")
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = cut(distinct.join(roots, distinct["f"] == roots["id"], "left").select("f", F.coalesce("root", "f").alias("root"), "least"))
+    least = cut(classes.groupBy("root").agg(F.min("least").alias("component_id")))
     # Joined by fingerprint; the fingerprint of a large group of copies is split by the adaptive skew join.
     named = cut(classes.join(least, "root").select("f", "component_id"))
     return rows.join(named, rows["f0"] == named["f"]).select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, features: int = 1, lanes: int = 12, verify_words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Classes of texts whose shingles of verify_words words have a Jaccard similarity of `similarity` or more, or that are linked by such.
+def near_prints(docs: DataFrame, lanes: int, words: int, minhash: MinHash) -> DataFrame:
+    """doc_id, text_hash, fs (fingerprints over the text's different words, a lane each), bands (keys of samples of its shingles)."""
 
-    Fingerprints over the different `features`-word shingles in several lanes (hash functions): an edited word changes one feature, so texts
-    at the similarity limit are five or six bits apart in a lane, and 3 or fewer in one of the lanes about nine times in ten, closer texts
-    almost always. Candidates from the ring index of any lane are verified by exact Jaccard similarity on the whole texts. Returns doc_id,
-    text_hash, component_id; equal texts are one before pairs are made.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fs, bands = [], []
+            for text in batch.column(2):
+                text = text.as_py()
+                single = np.unique(np.array(shingle_hashes(text, 1), dtype=np.uint64))
+                fs.append([majority(_mixed(single, i)) for i in range(lanes)])
+                bands.append(minhash(np.array(shingle_hashes(text, words), dtype=np.uint64)) if len(single) else [0] * minhash.bands)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fs, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "fs", "bands"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, f"doc_id {kind}, text_hash bigint, fs array<bigint>, bands array<bigint>")
+
+
+def near_duplicates(docs: DataFrame, lanes: int = 4, words: int = 5, similarity: float = 0.8, recall: float = 0.995) -> DataFrame:
+    """Classes of texts whose shingles of `words` words have a Jaccard similarity of `similarity` or more, or that are linked by such.
+
+    Candidates come from two kinds of fingerprints. Those over all different words of a text, in several lanes (hash functions), meet in
+    the ring index at 3 or fewer differing bits, as texts with a few scattered edits do. Where one text is the other one and a block more,
+    many words are new and 3 bits are too tight; so there are fingerprints of small samples too, of the shingles that are least under
+    some hash functions: they agree just where the samples do, whichever way the texts differ, and so many are taken that a pair at the
+    limit has a chance of `recall` to agree in one. Every candidate is verified by the exact Jaccard similarity of the whole texts. Returns
+    doc_id, text_hash, component_id; equal texts are one before pairs are made.
     """
     work = docs.select("doc_id", text_of(docs).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    rows = cut(fingerprints(work, features, lanes=lanes, keep=("doc_id", "text_hash"), once=True))
-    texts = cut(rows.groupBy("text_hash").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least"), *(F.first(f"f{i}").alias(f"f{i}") for i in range(lanes))))
-    lane = F.explode(F.array(*(F.struct(F.lit(i).alias("lane"), F.col(f"f{i}").alias("f")) for i in range(lanes)))).alias("x")
-    by_lane = texts.select(F.col("text_hash").alias("id"), lane).select("id", "x.lane", "x.f")
-    # A bucket is a lane, a key and the place of a fingerprint in it.
-    members = by_lane.select(F.explode(keys(F.col("f"))).alias("key"), "lane", "id").select(F.xxhash64("lane", "key").alias("bucket"), "id")
-    print_of = texts.select("text_hash", F.array(*(f"f{i}" for i in range(lanes))).alias("fs"))
+    minhash = MinHash(*tune_bands(similarity, recall))
+    rows = cut(near_prints(work, lanes, words, minhash))
+    texts = cut(rows.groupBy("text_hash").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least"), F.first("fs").alias("fs"), F.first("bands").alias("bands")))
+    depth = depth_for(texts.count())
+    ring = F.transform("fs", lambda f, lane: F.transform(keys(f, depth), lambda key: F.xxhash64(lane, key)))
+    members = texts.select(F.explode(F.concat(F.flatten(ring), "bands")).alias("bucket"), F.col("text_hash").alias("id"))
 
     space = Workspace(docs.sparkSession)
     met = collisions(members, space)
@@ -156,19 +182,19 @@ def near_duplicates(docs: DataFrame, features: int = 1, lanes: int = 12, verify_
     def make_sets(ids: DataFrame) -> DataFrame:
         wanted = ids.select(F.col("id").alias("text_hash"))
         reps = maybe_among(work.select("text_hash", "text"), wanted, "text_hash").join(wanted, "text_hash")
-        return space.save(shingle_sets(reps.groupBy("text_hash").agg(F.first("text").alias("text")), verify_words), "sets")
+        return space.save(shingle_sets(reps.groupBy("text_hash").agg(F.first("text").alias("text")), words), "sets")
 
     def near(pairs: DataFrame) -> DataFrame:
-        side = lambda c: print_of.select(F.col("text_hash").alias(c), F.col("fs").alias(f"f{c}"))
+        side = lambda c: texts.select(F.col("text_hash").alias(c), F.col("fs").alias(f"f{c}"), F.col("bands").alias(f"m{c}"))
         ring = F.exists(F.zip_with("fa", "fb", lambda a, b: within_ring(a, b)), lambda x: x)
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(ring).select("a", "b")
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(ring | F.arrays_overlap("ma", "mb")).select("a", "b")
 
     weights = texts.select(F.col("text_hash").alias("id"), "weight")
     roots = connected_components(set_links(met, weights, make_sets, similarity, near, large=4))
-    classes = texts.join(roots, texts["text_hash"] == roots["id"], "left").select("text_hash", F.coalesce("root", "text_hash").alias("root"), "least")
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(classes.join(least, "root").select("text_hash", "component_id"))
-    out = cut(rows.select("doc_id", "text_hash").join(named, "text_hash"))
+    classes = cut(texts.join(roots, texts["text_hash"] == roots["id"], "left").select("text_hash", F.coalesce("root", "text_hash").alias("root"), "least"))
+    least = cut(classes.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = cut(classes.join(least.hint("merge"), "root").select("text_hash", "component_id"))
+    out = cut(rows.select("doc_id", "text_hash").join(named.hint("merge"), "text_hash"))
     space.drop()
     return out
 
@@ -208,17 +234,6 @@ def tune_bands(similarity: float, recall: float, rows: int = 3) -> tuple[int, in
     return int(np.ceil(np.log(1 - recall) / np.log1p(-(similarity**rows)))), rows
 
 
-def banded(sets: DataFrame, minhash: MinHash) -> DataFrame:
-    """text_hash, set to bucket, id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [minhash(np.array(s.as_py(), dtype=np.int64).view(np.uint64)) if len(s.as_py()) else [0] * minhash.bands for s in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["id", "keys"])
-
-    return sets.select("text_hash", "set").mapInArrow(run, "id bigint, keys array<bigint>").select(F.explode("keys").alias("bucket"), "id")
-
-
 def set_links(
     met: DataFrame, weights: DataFrame, make_sets: Callable[[DataFrame], DataFrame], similarity: float, prefilter: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, large: int = 16
 ) -> DataFrame:
@@ -250,16 +265,20 @@ def crowd_links(left: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     """left: (bucket, id, root). Links (a, b) by exact similarity that join what all links within the buckets, across roots, would join.
 
     A bucket is cut into tiles by a hash of id, and every two tiles meet in a task that multiplies their members' shingle matrices and gives
-    a spanning forest of the links, one fewer than its members at most. Crowds of over CROWD members are cut by bands of eight rows before
-    that, which a link shares with a chance of 0.998, so a member isn't sent to a number of tiles that grows with the corpus.
+    a spanning forest of the links, one fewer than its members at most. A crowd of over CROWD members is parted first, so that a member isn't
+    sent to a number of tiles that grows with the corpus, by its rarest shingles: of two sets with the similarity at least one shingle is
+    among those that remain of each when the share `similarity` of it, the commonest ones, is left out. So no link is lost.
     """
-    sizes = left.groupBy("bucket").agg(F.count("*").alias("n"))
+    sizes = cut(left.groupBy("bucket").agg(F.count("*").alias("n")))
     sized = cut(left.join(sizes.hint("merge"), "bucket"))
-    huge = sized.where(F.col("n") > CROWD).select("id", "root").distinct()
+    huge = sized.where(F.col("n") > CROWD).select("bucket", "id", "root")
     if not huge.isEmpty():
-        longer = MinHash(*tune_bands(similarity, 0.998, 8), seed=11)
-        parted = banded(sets.join(huge.select(F.col("id").alias("text_hash")), "text_hash"), longer).join(huge, "id").select("bucket", "id", "root")
-        counts = parted.groupBy("bucket").agg(F.count("*").alias("n"), F.countDistinct("root").alias("k")).where("k > 1").select("bucket", "n")
+        wide = cut(sets.join(huge, sets["text_hash"] == huge["id"]).select("bucket", "id", "root", F.size("set").alias("size"), F.explode("set").alias("s")))
+        times = cut(wide.groupBy("bucket", "s").agg(F.count("*").alias("times")))
+        rank = F.row_number().over(Window.partitionBy("bucket", "id").orderBy("times", "s"))
+        rare = wide.join(times.hint("merge"), ["bucket", "s"]).withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1)
+        parted = cut(rare.select(F.xxhash64("bucket", "s").alias("bucket"), "id", "root"))
+        counts = cut(parted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket", "n"))
         sized = sized.where(F.col("n") <= CROWD).unionByName(parted.join(counts.hint("merge"), "bucket").select("bucket", "id", "root", "n"))
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     own = sized.withColumn("k", tiles).withColumn("t", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
@@ -318,9 +337,10 @@ def one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
     best = best.select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
     copies = classes.groupBy("doc_id", "text_hash").agg(F.count("*").alias("__n"))
     best = cut(best.join(copies, (F.col("__id").eqNullSafe(F.col("doc_id"))) & (F.col("__hash") == F.col("text_hash"))).select("__id", "__hash", "__n"))
-    hashed = docs.withColumn("__hash2", F.xxhash64(text_of(docs)))
-    same = lambda k: hashed["doc_id"].eqNullSafe(k["__id"]) & (hashed["__hash2"] == k["__hash"])
+    # The rows go as a struct, so that no name of theirs can clash with a helper's.
+    hashed = docs.select(F.col("doc_id").alias("__doc"), F.xxhash64(text_of(docs)).alias("__text"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    same = lambda k: hashed["__doc"].eqNullSafe(k["__id"]) & (hashed["__text"] == k["__hash"])
     single, repeated = best.where("__n = 1"), best.where("__n > 1")
-    kept = hashed.join(single, same(single), "left_semi").drop("__hash2")
-    once = hashed.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "__hash2"]).drop("__hash2")
-    return kept.unionByName(once)
+    kept = hashed.join(single, same(single), "left_semi")
+    once = hashed.join(repeated, same(repeated), "left_semi").dropDuplicates(["__doc", "__text"])
+    return kept.unionByName(once).select("row.*")
