@@ -88,10 +88,57 @@ def test_rules_and_classifier_keep_clean_documents(spark):
 
 def test_without_labels_or_rows(spark):
     docs, labels = corpus(spark, 20)
-    none = labels.where("quality = 1")
+    none = labels.where("quality = 1 AND toxic = 0")  # a toxic document is a bad one
     assert all(r.kept != r.base_failed for r in quality_rules.apply_rules(docs, none).collect())
     assert all(r.kept and r.score == 0.5 for r in quality_classifier.classify(docs, none).collect())
     assert quality_classifier.keep_good(docs, none).count() == docs.count()
     for f in (quality_rules.apply_rules, quality_classifier.classify):
         assert f(docs.limit(0), labels).count() == 0
         assert f(docs.drop("kept", "n_chars", "source"), labels.limit(0)).count() == docs.count()
+
+
+def test_toxic_documents_go_and_clean_ones_stay(spark):
+    bad = "trash scum idiot clown loser".split()
+    rows = []
+    for i in range(600):
+        words = prose(150).split()
+        if i % 8 == 0:
+            for k in DRAW.integers(0, 150, 5):
+                words[k] = str(DRAW.choice(bad))
+        rows.append((i, " ".join(words), "en", "s", 1))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    labels = spark.createDataFrame([(i, 1, int(i % 8 == 0)) for i in range(600) if i % 3], "doc_id bigint, quality int, toxic int")
+    kept = {r.doc_id for r in quality_classifier.keep_good(docs, labels).select("doc_id").collect()}
+    unseen = range(0, 600, 3)
+    assert sum(i in kept for i in unseen if i % 8 == 0) <= 0.1 * sum(i % 8 == 0 for i in unseen)
+    assert sum(i in kept for i in unseen if i % 8) >= 0.98 * sum(i % 8 != 0 for i in unseen)
+
+
+def test_a_round_of_exchange_equals_brute_force(spark):
+    docs, labels = corpus(spark)
+    model = quality_classifier.fit_classifier(docs, labels, rounds=0)
+    got = quality_classifier._sums(quality_classifier._source(docs.repartition(5)), model, 0.9)
+    want, size = [], [quality_classifier.TEXT, quality_classifier.TEXT, quality_classifier.PAGE, quality_classifier.PAGE]
+    texts, pages = [], []
+    for r in docs.collect():
+        t, p = model.features([r.text or ""], [(r.lang, r.source, r.n_chars)], quality_classifier.WordBuckets())
+        texts.append(t[0]), pages.append(p[0])
+    t, p = model.views(np.array(texts), np.array(pages))
+    chance = lambda z: 1 / (1 + np.exp(-z))
+    for x, by in ((texts, chance(p)), (pages, chance(t))):
+        for chosen in (by <= 0.1, by >= 0.9):
+            rows = np.array([v for v, c in zip(x, chosen) if c], dtype=float)
+            want.append((len(rows), rows.sum(axis=0) if len(rows) else np.zeros(len(x[0]))))
+    at = 0
+    for (n, total), k in zip(want, size):
+        assert got[at] == n and np.allclose(got[at + 1 : at + 1 + k], total, rtol=1e-4)
+        at += 1 + k
+    assert sum(n for n, _ in want) > 100
+    assert quality_classifier.fit_classifier(docs, labels, rounds=1) is not None
+
+
+def test_a_repeated_id_is_one_row_of_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {i}", "a") for i in range(50)] + [(2, "b", "c")], "doc_id bigint, text string, __x string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1)], "doc_id bigint, quality int")
+    got = quality_rules.labelled_sample(docs, labels, 10).collect()
+    assert sorted((r.doc_id, r["__y"]) for r in got) == [(1, 0.5), (2, 0.0)]

@@ -1,20 +1,24 @@
 """Quality classifier by co-training: one classifier sees the text, another one the page's metadata (language, source, length).
 
-Both start from a bounded sample of labelled documents. In each round each one labels the documents of an unlabelled pool that it is sure
-of, as many of either kind as the labels' share has, for the other one to learn from. Both views are then calibrated on labelled
-documents held out from the start (Platt scaling), combined by a logistic regression on the two calibrated log-odds, and all documents
-are scored. A document is rejected under the threshold below which at most max_lost of the good held-out documents fall.
-
-The labelled sample and the pool are bounded by max_labels and max_pool, taken by the least hash of doc_id; one task trains on both.
-
-Defined results. Null texts and null metadata are empty ones. Repeated rows come out repeatedly; null doc_ids come out too. Without labels
-of both kinds every document is kept, at score 0.5. An empty table gives an empty one.
+A good document is one of quality 1 that isn't toxic. Both start from a bounded sample of labelled documents, max_labels with the least
+hash of doc_id. In each round each view goes over all documents and labels those that it is sure of for the other view, which learns
+from what these documents are like on average, for either kind: sums of features are all that a round gathers, so no document is left
+out however many there are. Both views are calibrated on labelled documents held out from the start (Platt scaling), combined by a
+logistic regression on the two calibrated log-odds, and all documents are scored. A document is rejected under the threshold below which
+at most max_lost of the good held-out documents fall.
+
+The text view has shares of byte pairs, statistics of the text, and how much its words speak for a bad document, by the words' counts in
+the labelled sample (a document's own label left out while training).
+
+Defined results. Null texts and null metadata are empty ones. Repeated rows come out repeatedly; null doc_ids come out too. Several labels
+of a document count by their mean, a null toxic as 0. Of the rows of a labelled doc_id one is learned from, that with the least hash of its
+text. Without labels of both kinds every document is kept, at score 0.5. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webextract.llm.common import text_of
+from webextract.llm.common import Workspace, text_of
 from webextract.llm.gbt import sigmoid
 from webextract.llm.quality_rules import labelled_sample, safe_threshold
 from webextract.llm.statistics import RATIOS, text_statistics
@@ -33,6 +37,11 @@ GRAMS = 1024
 _PLACE = ((np.arange(65536, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)).astype(np.int64)
 LANG, SOURCE = 16, 64
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Buckets of words, and how many documents' worth of "like any other" a word starts from.
+WORDS, PRIOR = 1 << 18, 2.0
+TEXT, PAGE = GRAMS + len(RATIOS) + 3, LANG + SOURCE + 3
+#: Sums of features are added up in so many parts, each in one task.
+CHUNKS = 16
 
 
 def text_view(text: str) -> np.ndarray:
@@ -42,6 +51,35 @@ def text_view(text: str) -> np.ndarray:
     return np.concatenate([np.sqrt(grams / max(len(raw) - 1, 1)), np.log1p(text_statistics(text)[1])]).astype(np.float32)
 
 
+class WordBuckets:
+    """The buckets of a text's different words (lower case, A-Z); words are remembered up to a bound."""
+
+    def __init__(self, most: int = 300_000) -> None:
+        self.known: dict[bytes, int] = {}
+        self.most = most
+
+    def __call__(self, text: str) -> np.ndarray:
+        words, known = set(text.encode().lower().split()), self.known
+        if len(known) > self.most:
+            known.clear()
+        for w in words.difference(known):
+            known[w] = xxhash.xxh64_intdigest(w.strip(b'.,;:!?"()[]')) % WORDS
+        return np.unique(np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words)))
+
+
+def word_odds(bad: np.ndarray, good: np.ndarray, n_bad: float, n_good: float) -> np.ndarray:
+    """How much words speak for a bad document, from the bad and good documents that have them; 0 for a word that none has."""
+    share = n_bad / max(n_bad + n_good, 1)
+    if not 0 < share < 1:
+        return np.zeros(len(bad))
+    return np.log((bad + PRIOR * share) / share) - np.log((good + PRIOR * (1 - share)) / (1 - share))
+
+
+def worst_words(odds: np.ndarray) -> tuple[float, float, float]:
+    top = np.sort(odds)[::-1][:8].clip(0) if len(odds) else np.zeros(1)
+    return float(top[0]), float(top[:3].sum()), float(top.sum())
+
+
 def page_view(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
     out = np.zeros(LANG + SOURCE + 3, dtype=np.float32)
     out[xxhash.xxh64_intdigest((lang or "").encode()) % LANG] = 1
@@ -51,6 +89,10 @@ def page_view(lang: str | None, source: str | None, n_chars: int | None) -> np.n
     return out
 
 
+#: The share of a class's weight that documents labelled by the other view have.
+GIVEN = 0.3
+
+
 @dataclass
 class Linear:
     """Logistic regression on standardised features."""
@@ -61,11 +103,17 @@ class Linear:
     bias: float
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 120) -> Linear:
-        """Accelerated gradient steps from zero; both classes weigh the same."""
+    def fit(cls, x: np.ndarray, y: np.ndarray, given: tuple[np.ndarray, ...] = (), l2: float = 1e-3, steps: int = 120) -> Linear:
+        """Accelerated gradient steps from zero; both classes weigh the same. given: of the bad and the good documents that the other view
+        is sure of the mean features, or nothing; these count for GIVEN of their class."""
         mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-        z = (x - mean) / scale
         share = np.where(y > 0.5, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)).astype(np.float32)
+        for kind, extra in enumerate(given):
+            if len(extra):
+                own = (y > 0.5) == bool(kind)
+                share[own] *= np.float32(1 - GIVEN)
+                x, y, share = np.concatenate([x, extra[None, :].astype(x.dtype)]), np.append(y, float(kind)), np.append(share, np.float32(0.5 * GIVEN))
+        z = (x - mean) / scale
         # The largest eigenvalue of the weighted second moment bounds the steps.
         v = np.ones(z.shape[1], dtype=np.float32)
         for _ in range(8):
@@ -104,56 +152,64 @@ class Model:
     text_scale: tuple[float, ...]
     page_scale: tuple[float, ...]
     mixed: tuple[float, ...]
+    odds: np.ndarray
     threshold: float = 0.0
 
+    def views(self, texts: np.ndarray, pages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each view's calibrated log-odds of a good document."""
+        return self.text(texts) * self.text_scale[0] + self.text_scale[1], self.page(pages) * self.page_scale[0] + self.page_scale[1]
+
     def __call__(self, texts: np.ndarray, pages: np.ndarray) -> np.ndarray:
-        """Log-odds of a good document, from the calibrated views."""
-        t = self.text(texts) * self.text_scale[0] + self.text_scale[1]
-        p = self.page(pages) * self.page_scale[0] + self.page_scale[1]
+        t, p = self.views(texts, pages)
         return self.mixed[0] * t + self.mixed[1] * p + self.mixed[2]
 
+    def features(self, texts: list[str], page: Iterable[tuple], buckets: WordBuckets) -> tuple[np.ndarray, np.ndarray]:
+        t = np.stack([np.append(text_view(x), np.float32(worst_words(self.odds[buckets(x)]))) for x in texts])
+        return t, np.stack([page_view(*x) for x in page])
 
-def co_train(texts: np.ndarray, pages: np.ndarray, y: np.ndarray, pool_texts: np.ndarray, pool_pages: np.ndarray, rounds: int = 4, sure: float = 0.95, step: float = 0.1, max_lost: float = 0.002) -> Model:
-    """step: the share of the pool that a view may label in a round."""
+
+def train(texts: np.ndarray, pages: np.ndarray, words: list[np.ndarray], y: np.ndarray, given: tuple = ((), ()), max_lost: float = 0.002) -> Model:
+    """texts: without the words' features; words: buckets; given: for the text and the page view what Linear.fit takes."""
     held = np.arange(len(y)) % 4 == 3
     if not (0 < y[held].sum() < held.sum() and 0 < y[~held].sum() < (~held).sum()):
         held = np.ones(len(y), dtype=bool)
     learn = ~held if not held.all() else held
-    share = y[learn].mean()
-    views = [(texts, pool_texts), (pages, pool_pages)]
-    given: list[dict[int, float]] = [{}, {}]
-    models: list[Linear] = []
-    for turn in range(rounds):
-        models = []
-        for (x, pool), extra in zip(views, given):
-            at = list(extra)
-            models.append(Linear.fit(np.concatenate([x[learn], pool[at]]), np.concatenate([y[learn], np.array([extra[i] for i in at])])))
-        if turn == rounds - 1 or not len(pool_texts):
-            break
-        for k, (model, (x, pool)) in enumerate(zip(models, views)):
-            scale = _platt(model(x[held])[:, None], y[held])
-            p = sigmoid(model(pool) * scale[0] + scale[1])
-            order = np.argsort(p, kind="stable")
-            many = step * len(pool)
-            bad = [i for i in order[: int(many * (1 - share))].tolist() if p[i] <= 1 - sure]
-            good = [i for i in order[::-1][: int(many * share)].tolist() if p[i] >= sure]
-            given[1 - k] |= dict.fromkeys(bad, 0.0) | dict.fromkeys(good, 1.0)
-    scales = [_platt(m(x[held])[:, None], y[held]) for m, (x, _) in zip(models, views)]
-    z = np.column_stack([m(x[held]) * c[0] + c[1] for m, (x, _), c in zip(models, views, scales)])
-    out = Model(models[0], models[1], scales[0], scales[1], _platt(z, y[held]))
+    counts = np.zeros((2, WORDS))
+    for at, kind in zip(words, y):
+        counts[int(kind), at] += 1
+    for i in np.flatnonzero(held & ~learn):
+        counts[int(y[i]), words[i]] -= 1
+    n = np.array([(learn & (y < 0.5)).sum(), (learn & (y > 0.5)).sum()], dtype=float)
+    odds = word_odds(counts[0], counts[1], n[0], n[1]).astype(np.float32)
+    worst = []
+    for at, kind, own in zip(words, y, learn):
+        left = [1.0 if own and int(kind) == k else 0.0 for k in (0, 1)]
+        worst.append(worst_words(word_odds(counts[0, at] - left[0], counts[1, at] - left[1], n[0] - left[0], n[1] - left[1])))
+    texts = np.concatenate([texts, np.array(worst, dtype=np.float32)], axis=1)
+    models = [Linear.fit(x[learn], y[learn], extra) for x, extra in zip((texts, pages), given)]
+    scales = [_platt(m(x[held])[:, None], y[held]) for m, x in zip(models, (texts, pages))]
+    z = np.column_stack([m(x[held]) * c[0] + c[1] for m, x, c in zip(models, (texts, pages), scales)])
+    out = Model(models[0], models[1], scales[0], scales[1], _platt(z, y[held]), odds)
     out.threshold = safe_threshold(out(texts[held], pages[held]), y[held], max_lost)
     return out
 
 
-def _rows_of_views(frame: DataFrame) -> DataFrame:
-    """frame: text, lang, source, n_chars, y. Returns both views and y (null for the pool)."""
+def sure_sums(model: Model, texts: np.ndarray, pages: np.ndarray, sure: float) -> np.ndarray:
+    """For the text and the page view, for bad and good: the number of documents that the other view is sure of, and their features' sums."""
+    t, p = model.views(texts, pages)
+    out = []
+    for odds, x in ((p, texts), (t, pages)):
+        limit = np.log(sure / (1 - sure))
+        for chosen in (odds <= -limit, odds >= limit):
+            out.append(np.concatenate([[chosen.sum()], x[chosen].sum(axis=0, dtype=np.float64)]))
+    return np.concatenate(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t, g, s, n, y = (c.to_pylist() for c in b.columns)
-            yield pa.RecordBatch.from_arrays([pa.array([text_view(x).tobytes() for x in t], pa.binary()), pa.array([page_view(*x).tobytes() for x in zip(g, s, n)], pa.binary()), pa.array(y, pa.float64())], names=["t", "p", "y"])
 
-    return frame.mapInArrow(run, "t binary, p binary, y double")
+def means(sums: np.ndarray) -> tuple:
+    """From sure_sums() of all documents what Linear.fit takes for either view."""
+    parts = np.split(sums, np.cumsum([TEXT + 1, TEXT + 1, PAGE + 1]))
+    bad_text, good_text, bad_page, good_page = (x[1:] / x[0] if x[0] else x[:0] for x in parts)
+    return (bad_text, good_text), (bad_page, good_page)
 
 
 def _view_columns(docs: DataFrame) -> list[Column]:
@@ -166,66 +222,93 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", *_view_columns(docs))
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, max_labels: int = 8_000, max_pool: int = 4_000, max_lost: float = 0.002) -> Model | None:
-    source = _source(docs)
-    rest = ("text", "lang", "source", "n_chars")
-    sample = labelled_sample(source, labels, max_labels).select(*rest, F.col("__y").alias("y"))
-    # The pool: the unlabelled documents with the least hash, of ids first, as only these have to be ordered.
-    ids = source.select("doc_id").where("doc_id IS NOT NULL").join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
-    ids = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_pool).select(F.col("doc_id").alias("__id"))
-    pool = source.join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select(*rest, F.lit(None).cast("double").alias("y"))
+def _slices(batches: Iterable[pa.RecordBatch], many: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The views of a thousand texts at a time, so that memory doesn't follow the batch."""
+    return (b.slice(i, many) for b in batches for i in range(0, len(b), many))
+
+
+def fit_classifier(docs: DataFrame, labels: DataFrame, max_labels: int = 8_000, max_lost: float = 0.002, rounds: int = 2, sure: float = 0.95) -> Model | None:
+    """rounds: how often the views go over all documents to label them for each other."""
+    source, space = _source(docs), Workspace(docs.sparkSession)
+    toxic = F.coalesce(F.col("toxic").cast("double"), F.lit(0.0)) if "toxic" in labels.columns else F.lit(0.0)
+    target = labels.where("quality IS NOT NULL").select("doc_id", F.when(toxic > 0.5, 0.0).otherwise(F.col("quality").cast("double")).alias("quality"))
+    sample = labelled_sample(source, target, max_labels).select("text", "lang", "source", "n_chars", F.col("__y").alias("y"))
+
+    def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = WordBuckets()
+        for b in batches:
+            t, g, s, n, y = (c.to_pylist() for c in b.columns)
+            columns = [[text_view(x).tobytes() for x in t], [page_view(*x).tobytes() for x in zip(g, s, n)], [buckets(x).tobytes() for x in t]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in columns), pa.array(y, pa.float64())], names=["t", "p", "w", "y"])
+
+    known = space.save(sample.mapInArrow(views, "t binary, p binary, w binary, y double"), "sample")
+
+    def learn(given: tuple) -> Model | None:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # One task trains on the bounded sample, in an order that the rows alone decide.
+            rows = sorted((y, t, p, w) for b in batches for t, p, w, y in zip(*(c.to_pylist() for c in b.columns)))
+            y, model = np.array([r[0] > 0.5 for r in rows], dtype=float), None
+            if 0 < y.sum() < len(y):
+                texts, pages = (np.frombuffer(b"".join(r[k] for r in rows), np.float32).reshape(len(rows), -1) for k in (1, 2))
+                model = train(texts, pages, [np.frombuffer(r[3], np.int32) for r in rows], y, given, max_lost)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)])], names=["model"])
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # One task trains on the bounded sample; in an order that the rows alone decide.
-        rows = sorted((y is None, y or 0.0, t, p) for b in batches for t, p, y in zip(*(c.to_pylist() for c in b.columns)))
-        read = lambda k, part: np.frombuffer(b"".join(r[k] for r in part), np.float32).reshape(len(part), -1)
-        known, others = [r for r in rows if not r[0]], [r for r in rows if r[0]]
-        y = np.array([r[1] > 0.5 for r in known], dtype=float)
-        model = None
-        if 0 < y.sum() < len(y):
-            views = [read(k, part) if part else np.zeros((0, n), np.float32) for part in (known, others) for k, n in ((2, GRAMS + len(RATIOS)), (3, LANG + SOURCE + 3))]
-            model = co_train(views[0], views[1], y, views[2], views[3], max_lost=max_lost)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)])], names=["model"])
+        return pickle.loads(known.repartition(1).mapInArrow(run, "model binary").first()["model"])
 
-    views = _rows_of_views(sample).unionByName(_rows_of_views(pool)).coalesce(1)
-    return pickle.loads(views.mapInArrow(train, "model binary").first()["model"])
+    model = learn(((), ()))
+    for _ in range(rounds if model else 0):
+        model = learn(means(_sums(source, model, sure)))
+    space.drop()
+    return model
 
 
-def classify(docs: DataFrame, labels: DataFrame, max_labels: int = 8_000, max_pool: int = 4_000, max_lost: float = 0.002) -> DataFrame:
-    """docs: doc_id, text, lang, source, n_chars; labels: doc_id, quality. Returns doc_id, score (probability of a good document), kept."""
-    model = fit_classifier(docs, labels, max_labels, max_pool, max_lost)
+def _sums(source: DataFrame, model: Model, sure: float) -> np.ndarray:
+    """sure_sums() over all documents; a task sends one vector, whose parts are added up in a task each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        buckets, total = WordBuckets(), np.zeros(2 * (TEXT + PAGE + 2))
+        for b in _slices(batches):
+            t, *page = (c.to_pylist() for c in b.columns)
+            total += sure_sums(model, *model.features(t, zip(*page), buckets), sure)
+        cut = np.array_split(total, CHUNKS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([c.tobytes() for c in cut])], names=["chunk", "x"])
+
+    def add(table: pa.Table) -> pa.Table:
+        return pa.table({"chunk": table.column("chunk")[:1], "x": pa.array([sum(np.frombuffer(x.as_py()) for x in table.column("x")).tobytes()])})
+
+    rows = source.select("text", "lang", "source", "n_chars").mapInArrow(run, "chunk int, x binary")
+    found = rows.groupBy("chunk").applyInArrow(lambda t: add(t), "chunk int, x binary").collect()
+    return np.concatenate([np.frombuffer(r["x"]) for r in sorted(found, key=lambda r: r["chunk"])])
+
+
+def classify(docs: DataFrame, labels: DataFrame, max_labels: int = 8_000, max_lost: float = 0.002, rounds: int = 2) -> DataFrame:
+    """docs: doc_id, text, lang, source, n_chars; labels: doc_id, quality, toxic. Returns doc_id, score (probability of a good document), kept."""
+    model = fit_classifier(docs, labels, max_labels, max_lost, rounds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = WordBuckets()
+        for b in _slices(batches):
             ids, t, *page = b.columns
-            odds = np.zeros(len(ids))
-            if model and len(ids):
-                texts = np.stack([text_view(x.as_py()) for x in t])
-                odds = model(texts, np.stack([page_view(*x) for x in zip(*(c.to_pylist() for c in page))]))
+            odds = model(*model.features(t.to_pylist(), zip(*(c.to_pylist() for c in page)), buckets)) if model else np.zeros(len(ids))
             keep = odds >= model.threshold if model else np.ones(len(ids), dtype=bool)
             yield pa.RecordBatch.from_arrays([ids, pa.array(sigmoid(odds).astype(float)), pa.array(keep)], names=["doc_id", "score", "kept"])
 
-    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The views of 1000 texts at a time, so that memory doesn't follow the batch.
-        yield from run(b.slice(i, 1000) for b in batches for i in range(0, max(len(b), 1), 1000))
-
-    return _source(docs).select(*COLUMNS).mapInArrow(sliced, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, kept boolean")
+    return _source(docs).select(*COLUMNS).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, kept boolean")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, max_labels: int = 8_000, max_pool: int = 4_000, max_lost: float = 0.002) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, max_labels: int = 8_000, max_lost: float = 0.002, rounds: int = 2) -> DataFrame:
     """The rows of docs, with all their columns, that classify() keeps."""
-    model = fit_classifier(docs, labels, max_labels, max_pool, max_lost)
+    model = fit_classifier(docs, labels, max_labels, max_lost, rounds)
     if not model:
         return docs
     names = docs.columns
     seen = docs.select("*", *(c.alias(f"__view{i}") for i, c in enumerate(_view_columns(docs))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, len(whole), 1000):
-                b = whole.slice(i, 1000)
-                t, *page = b.columns[len(names) :]
-                odds = model(np.stack([text_view(x.as_py()) for x in t]), np.stack([page_view(*x) for x in zip(*(c.to_pylist() for c in page))]))
-                yield pa.RecordBatch.from_arrays(b.filter(pa.array(odds >= model.threshold)).columns[: len(names)], names=names)
+        buckets = WordBuckets()
+        for b in _slices(batches):
+            t, *page = (c.to_pylist() for c in b.columns[len(names) :])
+            odds = model(*model.features(t, zip(*page), buckets))
+            yield pa.RecordBatch.from_arrays(b.filter(pa.array(odds >= model.threshold)).columns[: len(names)], names=names)
 
     return seen.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))

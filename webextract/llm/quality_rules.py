@@ -31,7 +31,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, target: str =
     of = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy("doc_id").agg(F.avg(target).alias("y"))
     few = of.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # At most `most` rows of two numbers.
-    return docs.join(F.broadcast(few.select(F.col("doc_id").alias("__id"), F.col("y").alias("__y"))), F.col("doc_id") == F.col("__id")).drop("__id")
+    rows = docs.join(F.broadcast(few.select(F.col("doc_id").alias("__id"), F.col("y").alias("__y"))), F.col("doc_id") == F.col("__id"))
+    # Of repeated rows one, so that the sample has at most `most` rows; those of an id meet as partial aggregates.
+    one = rows.groupBy("__id").agg(F.min_by(F.struct(*(rows[c] for c in docs.columns), "__y"), F.xxhash64("text")).alias("r"))
+    return one.select("r.*")
 
 
 def folds(n: int, k: int = 4) -> list[np.ndarray]:
