@@ -6,20 +6,20 @@ import pytest
 from webextract.llm import mixing
 
 
-@pytest.mark.parametrize("parts", [[1], [3, 1], [1, 1, 1], [500, 300, 150, 49, 1], [7, 7, 7, 1, 1, 1], [1] * 40 + [960]])
-def test_no_source_is_a_block_off(parts):
-    slots, total, done = mixing.pfair_schedule(parts), sum(parts), Counter()
-    assert Counter(slots) == {i: a for i, a in enumerate(parts)}
-    for t, i in enumerate(slots, 1):
-        done[i] += 1
-        assert all(abs(done[k] - Fraction(t * a, total)) < 1 for k, a in enumerate(parts))
+@pytest.mark.parametrize("weights", [[1.0], [3, 1], [1, 1, 1], [0.5, 0.3, 0.15, 0.049, 0.001], [7, 7, 7, 1, 1, 1], [1] * 40 + [960], [2**0.5, 3**0.5, 5**0.5, 0.1]])
+def test_no_source_is_a_block_off_its_real_weight(weights):
+    slots, total, done = mixing.pfair_schedule(weights, [2000] * len(weights)), sum(map(Fraction, weights)), Counter()
+    by_slot = {t: i for i, own in enumerate(slots) for t in own}
+    assert len(by_slot) == 2000 * len(weights) and all(own == sorted(own) for own in slots)
+    for t in range(1, 2000):
+        done[by_slot[t - 1]] += 1
+        assert all(abs(done[k] - t * Fraction(w) / total) < 1 for k, w in enumerate(weights))
 
 
-def test_parts():
-    assert mixing.to_parts({"a": 1, "b": 3}, 1000) == {"a": 250, "b": 750}
-    parts = mixing.to_parts({f"s{i}": 1 for i in range(7)} | {"tiny": 1e-9, "none": 0}, 1000)
-    assert sum(parts.values()) == 1000 and parts["tiny"] == 1 and "none" not in parts
-    assert mixing.to_parts({}, 10) == {}
+def test_schedule_skips_what_no_source_fills():
+    assert mixing.pfair_schedule([], []) == []
+    assert mixing.pfair_schedule([1, 0], [2, 5]) == [[0, 1], []]
+    assert mixing.pfair_schedule([1, 1], [3, 1]) == [[0, 2, 4], [1]]
 
 
 def corpus():
@@ -32,7 +32,7 @@ def test_mix_has_every_row_and_the_weights(spark, bucket_rows):
     rows = corpus()
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, source string, key string, slot int").repartition(6)
     weights = {"hot": 5, "s0": 2, "s1": 1, "s2": 1, "s3": 1, None: 0.1}
-    out = mixing.mix_sources(docs, weights, block_rows=8, period=100, bucket_rows=bucket_rows).collect()
+    out = mixing.mix_sources(docs, weights, block_rows=8, bucket_rows=bucket_rows).collect()
     assert Counter((r.doc_id, r.source) for r in out) == Counter(rows)
     places = defaultdict(set)
     for r in out:
@@ -47,11 +47,17 @@ def test_mix_has_every_row_and_the_weights(spark, bucket_rows):
     # Before the first source runs out every prefix of slots is within a block of the weights.
     slots = {r.slot: r.source for r in out if r.balanced}
     assert sorted(slots) == list(range(len(slots))) and len(slots) > 5
-    parts = mixing.to_parts({("n" if k is None else f"s{k}"): w for k, w in weights.items()}, 100)
-    done = Counter()
+    total, done = sum(map(Fraction, weights.values())), Counter()
     for t in range(len(slots)):
-        done["n" if slots[t] is None else f"s{slots[t]}"] += 1
-        assert all(abs(done[k] - Fraction((t + 1) * a, 100)) < 1 for k, a in parts.items())
+        done[slots[t]] += 1
+        assert all(abs(done[k] - (t + 1) * Fraction(w) / total) < 1 for k, w in weights.items())
+
+
+def test_blocks_grow_where_there_would_be_too_many(spark):
+    docs = spark.createDataFrame(corpus(), "doc_id bigint, source string")
+    out = mixing.mix_sources(docs, block_rows=2, max_blocks=100, max_buckets=3).collect()
+    assert len(out) == len(corpus()) and len({(r.source, r.block) for r in out}) <= 100 + 9
+    assert len({(r.slot, r.place) for r in out}) == len(out)
 
 
 def test_order_of_files_and_edges(spark, tmp_path):
