@@ -121,7 +121,7 @@ def test_a_round_of_exchange_equals_brute_force(spark):
     want, size = [], [quality_classifier.TEXT, quality_classifier.TEXT, quality_classifier.PAGE, quality_classifier.PAGE]
     texts, pages = [], []
     for r in docs.collect():
-        t, p = model.features([r.text or ""], [(r.lang, r.source, r.n_chars)], quality_classifier.WordBuckets())
+        t, p = model.features([r.text or ""], [(r.lang, r.source, r.n_chars)], quality_classifier.OfWords(model.odds.tolist()))
         texts.append(t[0]), pages.append(p[0])
     t, p = model.views(np.array(texts), np.array(pages))
     chance = lambda z: 1 / (1 + np.exp(-z))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from webextract.llm.common import Workspace, text_of
 from webextract.llm.gbt import sigmoid
 from webextract.llm.quality_rules import labelled_sample, safe_threshold
-from webextract.llm.statistics import RATIOS, text_statistics
+from webextract.llm.statistics import RATIOS, text_statistics_and_words
 
 GRAMS = 1024
 #: Where each pair of bytes goes; fixed by a multiplicative hash.
@@ -44,27 +44,26 @@ TEXT, PAGE = GRAMS + len(RATIOS) + 3, LANG + SOURCE + 3
 CHUNKS = 16
 
 
-def text_view(text: str) -> np.ndarray:
-    """Shares of hashed byte pairs, square-rooted, and the text's statistics."""
-    raw = np.frombuffer(text.encode(), np.uint8).astype(np.int64)
+def text_view(text: str) -> tuple[np.ndarray, dict[bytes, int]]:
+    """Shares of hashed byte pairs, square-rooted, and the text's statistics; and its different words."""
+    whole = text.encode()
+    raw = np.frombuffer(whole, np.uint8).astype(np.int64)
     grams = np.bincount(_PLACE[raw[:-1] * 256 + raw[1:]], minlength=GRAMS) if len(raw) > 1 else np.zeros(GRAMS)
-    return np.concatenate([np.sqrt(grams / max(len(raw) - 1, 1)), np.log1p(text_statistics(text)[1])]).astype(np.float32)
+    _, ratios, words = text_statistics_and_words(text)
+    return np.concatenate([np.sqrt(grams / max(len(raw) - 1, 1)), np.log1p(ratios)]).astype(np.float32), words
 
 
-class WordBuckets:
-    """The buckets of a text's different words (lower case, A-Z); words are remembered up to a bound."""
+class OfWords(dict):
+    """What a table has for a word: in lower case (A-Z), without marks around it, hashed. Words are remembered up to a bound."""
 
-    def __init__(self, most: int = 300_000) -> None:
-        self.known: dict[bytes, int] = {}
-        self.most = most
+    def __init__(self, table: list, most: int = 500_000) -> None:
+        self.table, self.most = table, most
 
-    def __call__(self, text: str) -> np.ndarray:
-        words, known = set(text.encode().lower().split()), self.known
-        if len(known) > self.most:
-            known.clear()
-        for w in words.difference(known):
-            known[w] = xxhash.xxh64_intdigest(w.strip(b'.,;:!?"()[]')) % WORDS
-        return np.unique(np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words)))
+    def __missing__(self, word: bytes) -> float:
+        if len(self) > self.most:
+            self.clear()
+        self[word] = out = self.table[xxhash.xxh64_intdigest(word.lower().strip(b'.,;:!?"()[]')) % WORDS]
+        return out
 
 
 def word_odds(bad: np.ndarray, good: np.ndarray, n_bad: float, n_good: float) -> np.ndarray:
@@ -75,9 +74,10 @@ def word_odds(bad: np.ndarray, good: np.ndarray, n_bad: float, n_good: float) ->
     return np.log((bad + PRIOR * share) / share) - np.log((good + PRIOR * (1 - share)) / (1 - share))
 
 
-def worst_words(odds: np.ndarray) -> tuple[float, float, float]:
-    top = np.sort(odds)[::-1][:8].clip(0) if len(odds) else np.zeros(1)
-    return float(top[0]), float(top[:3].sum()), float(top.sum())
+def worst_words(odds: Iterable[float]) -> tuple[float, float, float]:
+    """Of the words that speak for a bad document the largest, the sum of three and that of eight."""
+    top = sorted((x for x in odds if x > 0), reverse=True)[:8]
+    return max(top, default=0.0), sum(top[:3]), sum(top)
 
 
 def page_view(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
@@ -163,9 +163,13 @@ class Model:
         t, p = self.views(texts, pages)
         return self.mixed[0] * t + self.mixed[1] * p + self.mixed[2]
 
-    def features(self, texts: list[str], page: Iterable[tuple], buckets: WordBuckets) -> tuple[np.ndarray, np.ndarray]:
-        t = np.stack([np.append(text_view(x), np.float32(worst_words(self.odds[buckets(x)]))) for x in texts])
-        return t, np.stack([page_view(*x) for x in page])
+    def features(self, texts: list[str], page: Iterable[tuple], of_words: OfWords) -> tuple[np.ndarray, np.ndarray]:
+        """of_words: of self.odds."""
+        t = []
+        for text in texts:
+            view, words = text_view(text)
+            t.append(np.append(view, np.float32(worst_words(map(of_words.__getitem__, words)))))
+        return np.stack(t), np.stack([page_view(*x) for x in page])
 
 
 def train(texts: np.ndarray, pages: np.ndarray, words: list[np.ndarray], y: np.ndarray, given: tuple = ((), ()), max_lost: float = 0.002) -> Model:
@@ -235,10 +239,12 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, max_labels: int = 8_000,
     sample = labelled_sample(source, target, max_labels).select("text", "lang", "source", "n_chars", F.col("__y").alias("y"))
 
     def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = WordBuckets()
+        place = OfWords(range(WORDS))
         for b in batches:
             t, g, s, n, y = (c.to_pylist() for c in b.columns)
-            columns = [[text_view(x).tobytes() for x in t], [page_view(*x).tobytes() for x in zip(g, s, n)], [buckets(x).tobytes() for x in t]]
+            found = [text_view(x) for x in t]
+            buckets = [np.unique(np.array(list(map(place.__getitem__, words)), dtype=np.int32)) for _, words in found]
+            columns = [[x.tobytes() for x, _ in found], [page_view(*x).tobytes() for x in zip(g, s, n)], [x.tobytes() for x in buckets]]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in columns), pa.array(y, pa.float64())], names=["t", "p", "w", "y"])
 
     known = space.save(sample.mapInArrow(views, "t binary, p binary, w binary, y double"), "sample")
@@ -266,7 +272,7 @@ def _sums(source: DataFrame, model: Model, sure: float) -> np.ndarray:
     """sure_sums() over all documents; a task sends one vector, whose parts are added up in a task each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, total = WordBuckets(), np.zeros(2 * (TEXT + PAGE + 2))
+        buckets, total = OfWords(model.odds.tolist()), np.zeros(2 * (TEXT + PAGE + 2))
         for b in _slices(batches):
             t, *page = (c.to_pylist() for c in b.columns)
             total += sure_sums(model, *model.features(t, zip(*page), buckets), sure)
@@ -286,7 +292,7 @@ def classify(docs: DataFrame, labels: DataFrame, max_labels: int = 8_000, max_lo
     model = fit_classifier(docs, labels, max_labels, max_lost, rounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = WordBuckets()
+        buckets = OfWords(model.odds.tolist()) if model else None
         for b in _slices(batches):
             ids, t, *page = b.columns
             odds = model(*model.features(t.to_pylist(), zip(*(c.to_pylist() for c in page)), buckets)) if model else np.zeros(len(ids))
@@ -305,7 +311,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_labels: int = 8_000, max_l
     seen = docs.select("*", *(c.alias(f"__view{i}") for i, c in enumerate(_view_columns(docs))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = WordBuckets()
+        buckets = OfWords(model.odds.tolist())
         for b in _slices(batches):
             t, *page = (c.to_pylist() for c in b.columns[len(names) :])
             odds = model(*model.features(t, zip(*page), buckets))

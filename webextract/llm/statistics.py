@@ -39,6 +39,11 @@ def _windows(ids: np.ndarray, kinds: int) -> np.ndarray:
 
 def text_statistics(text: str) -> tuple[tuple[int, ...], list[float]]:
     """The counts named COUNTS, and the ratios named RATIOS."""
+    return text_statistics_and_words(text)[:2]
+
+
+def text_statistics_and_words(text: str) -> tuple[tuple[int, ...], list[float], dict[bytes, int]]:
+    """As text_statistics(), and the different words."""
     raw = text.encode()
     words = raw.split()
     n = len(words)
@@ -78,4 +83,4 @@ def text_statistics(text: str) -> tuple[tuple[int, ...], list[float]]:
         float(of_byte[192:].sum() / letters),
         float((of_byte[124] + of_byte[60] + of_byte[62]) / w),
     ]
-    return (n, word_chars, n_symbols, n_dup_lines, n_repeat), ratios
+    return (n, word_chars, n_symbols, n_dup_lines, n_repeat), ratios, known
