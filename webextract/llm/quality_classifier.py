@@ -56,7 +56,7 @@ def text_view(text: str) -> tuple[np.ndarray, dict[bytes, int]]:
 class OfWords(dict):
     """What a table has for a word: in lower case (A-Z), without marks around it, hashed. Words are remembered up to a bound."""
 
-    def __init__(self, table: list, most: int = 500_000) -> None:
+    def __init__(self, table: list, most: int = 200_000) -> None:
         self.table, self.most = table, most
 
     def __missing__(self, word: bytes) -> float:

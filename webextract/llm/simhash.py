@@ -145,7 +145,7 @@ def near_prints(docs: DataFrame, lanes: int, words: int, minhash: MinHash) -> Da
     """doc_id, text_hash, fs (fingerprints over the text's different words, a lane each), bands (keys of samples of its shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 2000) for b in batches for i in range(0, len(b), 2000)):
             fs, bands = [], []
             for text in batch.column(2):
                 text = text.as_py()
@@ -203,7 +203,8 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     """text_hash, text to text_hash, set: the distinct hashes of the text's shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # Some hundred sets at a time, as they are larger than the texts.
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, len(b), 500)):
             sets = [np.unique(np.array(shingle_hashes(t.as_py(), words), dtype=np.uint64)).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["text_hash", "set"])
 
@@ -256,9 +257,9 @@ def set_links(
 
 
 #: Members of a crowd whose sets are compared in one task: two tiles of so many at most.
-TILE = 1024
+TILE = 512
 #: A larger crowd is first parted by longer bands.
-CROWD = 16 * TILE
+CROWD = 32 * TILE
 
 
 def crowd_links(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -288,7 +289,7 @@ def crowd_links(left: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return full.groupBy("bucket", "lo", "hi").applyInArrow(lambda table: tile_links(table, similarity), "a bigint, b bigint").distinct()
 
 
-def tile_links(table: pa.Table, similarity: float, columns: int = 4096) -> pa.Table:
+def tile_links(table: pa.Table, similarity: float, columns: int = 2048) -> pa.Table:
     """The members of one tile, or of two, to a spanning forest of their links across roots."""
     ids, roots = table.column("id").to_numpy(), table.column("root").to_numpy()
     lists = table.column("set").combine_chunks()
