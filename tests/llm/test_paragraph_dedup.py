@@ -123,7 +123,7 @@ def test_unaligned_passages_equal_brute_force(spark):
         for text in by_id[r.doc_id]:
             span = text[r.start : r.stop]
             whole = text[: r.start].rpartition("\n")[2] == "" and text[r.stop :].partition("\n")[0] == ""
-            if whole or r.doc_id == 1000 or any(" ".join(span.lower().split()[2:-2]) in p.lower() for p in passages)  # words beside two copies may be equal by chance:
+            if whole or r.doc_id == 1000 or any(" ".join(span.lower().split()[2:-2]) in p.lower() for p in passages):  # words beside two copies may be equal by chance
                 break
         else:
             raise AssertionError(r)
@@ -133,7 +133,7 @@ def test_stretches_are_the_same_wherever_a_passage_stands():
     passage = prose(80)
     cutter = pd.Stretches()
     texts = [prose(7) + " " + passage, "Ü\n\v" + prose(40) + "\n" + passage.replace(" ", "\n", 3) + " " + prose(9), "", "a b", " \t" + passage.upper()]
-    of, line, nth, start, stop, words, h = cutter(texts)
+    of, line, nth, start, stop, words, h, tail = cutter(texts)
     assert set(of.tolist()) == {0, 1, 4}
     common = set(h[of == 0]) & set(h[of == 1]) & set(h[of == 4])
     assert sum(int(w) for w, x, o in zip(words, h, of) if o == 0 and x in common) + 5 >= 80 - 2 * pd.WINDOW
@@ -141,6 +141,7 @@ def test_stretches_are_the_same_wherever_a_passage_stands():
         text = texts[o]
         assert text[a - 1 : a] in ("", "\n") and "\n" not in text[a:b] and (b == 0 or text[b - 1].isspace()) and (c == len(text) or text[c].isspace())
         assert len(text[b:c].split()) == n + pd.SHINGLE
+    assert all(tail[of == o].tolist() == [stop[of == o][-1], *[-1] * ((of == o).sum() - 1)] for o in (0, 1, 4))
     assert all(nth[of == o].tolist() == list(range((of == o).sum())) for o in (0, 1, 4))
 
 

@@ -87,7 +87,7 @@ class Stretches:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, ...]:
         """Of each stretch: which text, the start of the line that it begins in, which one of the text, start, stop, words to the next anchor,
-        hash. Positions are characters of the text."""
+        hash, and of a text's first one the stop of its last one (else -1). Positions are characters of the text."""
         raws = [t.encode() for t in texts]
         whole = b"\n".join(raws) + b"\n"
         words, known = whole.lower().split(), self.known
@@ -104,7 +104,7 @@ class Stretches:
             end = end[-len(first) :] if len(first) else first
         text_at = np.cumsum([0, *(len(r) + 1 for r in raws)])
         of = np.searchsorted(text_at, first, "right") - 1
-        none = tuple(np.zeros(0, dtype=np.int64) for _ in range(7))
+        none = tuple(np.zeros(0, dtype=np.int64) for _ in range(8))
         n = len(h) - SHINGLE - WINDOW + 2  # windows
         if n <= 0:
             return none
@@ -132,11 +132,14 @@ class Stretches:
         line = np.where(line >= 0, chars[np.where(line >= 0, breaks[line], 0) + 1], 0)
         begins = np.flatnonzero(np.diff(of[a], prepend=-1))
         nth = np.arange(len(a)) - np.repeat(begins, np.diff(np.append(begins, len(a))))
-        return of[a], np.maximum(line - base, 0), nth, chars[first[a]] - base, chars[end[b + SHINGLE - 1]] - base, b - a, hashes.view(np.int64)
+        stop = chars[end[b + SHINGLE - 1]] - base
+        tail = np.full(len(a), -1)
+        tail[begins] = stop[np.append(begins[1:], len(a)) - 1]
+        return of[a], np.maximum(line - base, 0), nth, chars[first[a]] - base, stop, b - a, hashes.view(np.int64), tail
 
 
 def stretches(docs: DataFrame) -> DataFrame:
-    """docs: of keyed(). Returns k, doc_id, line, nth, start, stop, words, h."""
+    """docs: of keyed(). Returns k, doc_id, line, nth, start, stop, words, h, tail."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Stretches()
@@ -145,10 +148,10 @@ def stretches(docs: DataFrame) -> DataFrame:
                 part = batch.slice(i, 200)
                 of, *found = cutter(part.column(2).to_pylist())
                 rows = pa.array(of, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), *(pa.array(x, pa.int64()) for x in found)], names=["k", "doc_id", "line", "nth", "start", "stop", "words", "h"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), *(pa.array(x, pa.int64()) for x in found)], names=["k", "doc_id", "line", "nth", "start", "stop", "words", "h", "tail"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"k bigint, doc_id {kind}, line bigint, nth bigint, start bigint, stop bigint, words bigint, h bigint")
+    return docs.mapInArrow(run, f"k bigint, doc_id {kind}, line bigint, nth bigint, start bigint, stop bigint, words bigint, h bigint, tail bigint")
 
 
 def repeated_runs(docs: DataFrame, removed: DataFrame, space: Workspace, min_words: int) -> DataFrame:
@@ -158,7 +161,7 @@ def repeated_runs(docs: DataFrame, removed: DataFrame, space: Workspace, min_wor
     """
     gone = removed.select(F.col("k").alias("g"), F.col("start").alias("gs"))
     every = space.save(stretches(docs), "stretches")
-    left = space.save(every.join(gone.hint("merge"), (every["k"] == gone["g"]) & (every["line"] == gone["gs"]), "left_anti"), "left")
+    left = space.save(every.drop("tail").join(gone.hint("merge"), (every["k"] == gone["g"]) & (every["line"] == gone["gs"]), "left_anti"), "left")
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "k", "nth", "start")
     first = space.save(left.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h", "first"), "first")
     later = space.save(left.join(first.hint("merge"), "h").where(place != F.col("first")).select("k", "doc_id", "nth", "start", "stop", "words", "first"), "later")
@@ -169,8 +172,8 @@ def repeated_runs(docs: DataFrame, removed: DataFrame, space: Workspace, min_wor
     found = found.where(F.col("words") + SHINGLE >= min_words)
     runs = found.select("k", "doc_id", "start", "stop", F.lit(1).cast("long").alias("copies"), F.col("f.first.doc_id").alias("kept_doc_id"), F.col("f.first.start").alias("kept_start"))
     # Rows that are repeated as a whole have the same key; where no line of theirs is removed they come out from their first stretch on.
-    again = every.groupBy("k", "doc_id", "nth").agg(F.count("*").alias("m"), F.min("start").alias("start"), F.max("stop").alias("stop")).where("m > 1")
-    again = again.groupBy("k", "doc_id").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("m") - 1).alias("copies")).join(gone.select("g").distinct().hint("merge"), F.col("k") == F.col("g"), "left_anti")
+    again = every.where("nth = 0").groupBy("k", "doc_id", "start").agg(F.max("tail").alias("stop"), (F.count("*") - 1).alias("copies")).where("copies > 0")
+    again = again.join(gone.select("g").distinct().hint("merge"), F.col("k") == F.col("g"), "left_anti")
     return runs.unionByName(again.select("k", "doc_id", "start", "stop", "copies", F.col("doc_id").alias("kept_doc_id"), F.col("start").alias("kept_start")))
 
 
