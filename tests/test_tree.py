@@ -75,6 +75,9 @@ def test_selector_tools():
 
 def test_fixed_values():
     assert [len(x) for x in (C.EXACT_SELECTORS, C.FOOTNOTE_REFERENCES, C.FOOTNOTE_LISTS, C.ALLOWED_ATTRIBUTES, C.ALLOWED_EMPTY_TAGS, C.ENTRY_POINTS, C.NAVIGATION_PHRASES, C.NON_CONTENT_PATTERNS, C.CONTENT_INDICATORS)] == [144, 21, 15, 56, 36, 15, 35, 23, 14]
-    patterns = C.partial_patterns()
-    assert all(any(p in name for p in patterns) for name in ("reader-comments-analysis", "post-meta", "article__header", "newsletter-signup", "breadcrumb", "author-bio", "site-header"))
-    assert not any(p in name for p in patterns for name in ("article-content", "entry-content", "post-content", "main-content", "markdown-body", "story"))
+    patterns = C.PARTIAL_PATTERNS
+    assert len(patterns) == len(set(patterns)) == 200
+    goes = lambda name: any(p.lower() in name for p in patterns)
+    assert all(map(goes, ("reader-comments-analysis", "post-meta", "article__header", "newsletter-signup", "breadcrumb", "author-bio", "site-header", "card-content", "carousel-container", "adlayout", "around-the-web")))
+    assert not any(map(goes, ("article-content", "entry-content", "post-content", "main-content", "markdown-body", "story", "story-card", "comment-date", "share", "social", "promo")))
+    assert C.patterns_from(["# own\n", "a-b\n", "\n", "end \r\n"]) == ("a-b", "end ")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import replace
 
+from webextract.constants import patterns_from
 from webextract.options import Options
 from webextract.plans.extract import timed_page
 from webextract.sources import sinks, web
@@ -24,11 +26,15 @@ def main(argv: list[str] | None = None) -> int:
     parse.add_argument("--timeout", type=float, default=web.TIMEOUT)
     parse.add_argument("--proxy", default="")
     parse.add_argument("--debug", action="store_true")
+    parse.add_argument("--patterns", default="", help="file of substrings that mark clutter, one a line; turns the pass on")
     args = parser.parse_args(argv)
     try:
         client = web.Client(args.user_agent, args.timeout, web.parse_headers(args.header), args.proxy)
         # As a request that names no selector passes: both are off.
         options = Options.zero(debug=args.debug, markdown=args.markdown, separate_markdown=args.markdown, url=args.source)
+        if args.patterns:
+            with open(args.patterns, encoding="utf-8") as f:
+                options = replace(options, remove_partial_selectors=True, partial_patterns=patterns_from(f))
         if web.is_url(args.source):
             r = web.fetch(args.source, client)
             if r.error or r.status >= 400:

@@ -120,11 +120,17 @@ class Node:
         return self.attrs.get("class", "").split()
 
     def copy(self) -> Node:
-        out = Node(self.kind, self.tag, dict(self.attrs), self.data, self.ns)
-        for c in self.children:
-            d = c.copy()
-            d.parent = out
-            out.children.append(d)
+        alone = lambda n: Node(n.kind, n.tag, dict(n.attrs), n.data, n.ns)
+        out = alone(self)
+        todo = [(self, out)]
+        while todo:
+            old, new = todo.pop()
+            for c in old.children:
+                d = alone(c)
+                d.parent = new
+                new.children.append(d)
+                if c.children:
+                    todo.append((c, d))
         return out
 
     def inner_html(self) -> str:
@@ -162,26 +168,33 @@ def escape(text: str) -> str:
 
 
 def _write(n: Node, out: list[str], raw: bool) -> None:
-    if n.kind == "text":
-        out.append(n.data if raw else escape(n.data))
-    elif n.kind == "element":
-        out.append(f"<{n.tag}")
-        for k, v in n.attrs.items():
-            out.append(f' {k}="{escape(v)}"')
-        if n.tag in VOID and not n.ns:
-            out.append("/>")
-            return
-        out.append(">")
-        for c in n.children:
-            _write(c, out, n.tag in RAW)
-        out.append(f"</{n.tag}>")
-    elif n.kind == "comment":
-        out.append(f"<!--{n.data}-->")
-    elif n.kind == "doctype":
-        out.append(f"<!DOCTYPE {n.data}>")
-    else:
-        for c in n.children:
-            _write(c, out, False)
+    """By a list, as pages may be nested very deeply; what waits is a node, with whether its text is raw, or an end tag."""
+    todo: list[tuple[Node, bool] | str] = [(n, raw)]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        n, raw = x
+        if n.kind == "text":
+            out.append(n.data if raw else escape(n.data))
+        elif n.kind == "element":
+            out.append(f"<{n.tag}")
+            for k, v in n.attrs.items():
+                out.append(f' {k}="{escape(v)}"')
+            if n.tag in VOID and not n.ns:
+                out.append("/>")
+                continue
+            out.append(">")
+            todo.append(f"</{n.tag}>")
+            inner = n.tag in RAW
+            todo.extend([(c, inner) for c in reversed(n.children)])
+        elif n.kind == "comment":
+            out.append(f"<!--{n.data}-->")
+        elif n.kind == "doctype":
+            out.append(f"<!DOCTYPE {n.data}>")
+        else:
+            todo.extend([(c, False) for c in reversed(n.children)])
 
 
 def _attributes(raw: str) -> dict[str, str]:

@@ -264,6 +264,12 @@ def footnote_pairs(nodes: DataFrame) -> DataFrame:
     return refs.join(ids, ["page_id", "id"])
 
 
+def footnote_notes(nodes: DataFrame) -> DataFrame:
+    """page_id, ref_text, note: what the definition of each of footnote_pairs() says."""
+    notes = nodes.select("page_id", F.col("pre").alias("definition"), F.col("subtree_text").alias("note"))
+    return footnote_pairs(nodes).join(notes, ["page_id", "definition"]).select("page_id", "ref_text", "note")
+
+
 def first_images(nodes: DataFrame, eager: int = 3) -> DataFrame:
     """Images with their number on the page and how they should load."""
     number = F.row_number().over(Window.partitionBy("page_id").orderBy("pre"))

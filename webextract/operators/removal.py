@@ -77,7 +77,7 @@ def remove_exact(document: Node, log: Log, selectors: tuple[str, ...] = C.EXACT_
 
 @lru_cache(maxsize=16)
 def partial_regex(patterns: tuple[str, ...] | None = None) -> str:
-    return "|".join(re.escape(p.lower()) for p in (C.partial_patterns() if patterns is None else patterns)) or "(?!)"
+    return "|".join(re.escape(p.lower()) for p in (C.PARTIAL_PATTERNS if patterns is None else patterns)) or "(?!)"
 
 
 @lru_cache(maxsize=16)

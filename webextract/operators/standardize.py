@@ -8,8 +8,6 @@ from webextract import constants as C
 from webextract.css import first, select
 from webextract.htmltree import Node, element, fragment, text_node
 
-#: Wrappers and empty elements are taken out until nothing changes, but no more often than this.
-ROUNDS = 50
 _SEMANTIC = re.compile("article|main|content|footnote|reference|bibliography")
 _WRAPPER = re.compile("wrapper|container|layout|row|col|grid|flex|outer|inner|content-area")
 _ORDERED = re.compile(r"^[0-9]+\)")
@@ -197,7 +195,7 @@ def _depth(n: Node) -> int:
 
 def flatten(root: Node) -> None:
     """Takes wrappers off: the top level, then the deepest blocks first, then what holds only paragraphs; again until nothing changes."""
-    for _ in range(ROUNDS):
+    while True:  # every change takes an element away, so it ends
         changed = False
         for n in root.kids():
             if n.tag in C.BLOCK_TAGS:
@@ -239,7 +237,7 @@ def _is_empty(n: Node) -> bool:
 
 
 def remove_empty(root: Node) -> None:
-    for _ in range(ROUNDS):
+    while True:
         empty = [n for n in root.elements() if _is_empty(n)]
         for n in empty:
             n.detach()
@@ -268,28 +266,38 @@ def remove_extra_breaks(root: Node) -> None:
         br.detach()
 
 
-def _clean_texts(n: Node) -> None:
-    if n.kind == "element" and n.tag in ("pre", "code"):
-        return
-    for c in list(n.children):
-        _clean_texts(c)
-    if n.kind == "text":
-        if _BLANK.match(n.data):
-            if n.parent is not None:
-                n.detach()
-        else:
-            n.data = normalized_text(n.data)
+def _outside_code(root: Node) -> list[Node]:
+    """The nodes from root on, parents first, without what is in pre and code. By a list, as pages may be nested very deeply."""
+    todo, out = [root], []
+    while todo:
+        n = todo.pop()
+        if n.kind != "element" or n.tag not in ("pre", "code"):
+            out.append(n)
+            todo.extend(reversed(n.children))
+    return out
+
+
+def _clean_texts(root: Node) -> None:
+    for n in _outside_code(root):
+        if n.kind == "text":
+            if _BLANK.match(n.data):
+                if n.parent is not None:
+                    n.detach()
+            else:
+                n.data = normalized_text(n.data)
 
 
 def _content(n: Node) -> str:
     return n.data if n.kind == "text" else n.text() if n.kind == "element" else ""
 
 
-def _clean_edges(n: Node) -> None:
-    if n.kind != "element" or n.tag in ("pre", "code"):
-        return
-    for c in n.kids():
-        _clean_edges(c)
+def _clean_edges(root: Node) -> None:
+    for n in reversed(_outside_code(root)):
+        if n.kind == "element":
+            _clean_edges_of(n)
+
+
+def _clean_edges_of(n: Node) -> None:
     edge = _BLOCK_EDGE if n.tag in C.BLOCK_TAGS or n.tag in C.MORE_BLOCK_TAGS else _INLINE_EDGE
     for at in (0, -1):
         while n.children and n.children[at].kind == "text" and edge.match(n.children[at].data):

@@ -12,7 +12,8 @@ class Options:
     """Options() has both selector passes on; Options.zero() has every flag off, so that a flag left out of a request counts as off.
 
     process_* flags and their options are carried along for the standalone element processors; extract() doesn't run these.
-    partial_patterns: substrings of class, id and test attributes that mark clutter; None takes the built-in ones.
+    partial_patterns: substrings of class, id and test attributes that mark clutter; None takes the built-in ones,
+    constants.PARTIAL_PATTERNS; constants.patterns_from() reads a longer list from a file.
     mobile_styles: (selector, style text) pairs appended to the style of what they match.
     extractors: (name, patterns, function) of the caller's own, after the built-in ones.
     """
