@@ -7,7 +7,6 @@ clash with the names of an output, are ignored.
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 import uuid
 
@@ -19,14 +18,15 @@ WHITE = " \t\n\v\f\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, or else the session's checkpoint folder, or a new local one where neither is set."""
+    """The folder that spark.checkpoint.dir names, or else the session's checkpoint folder, or one below the warehouse where neither is set:
+    all three are folders that the whole cluster sees."""
     context = spark.sparkContext
     if found := spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir"):
         if not context.getCheckpointDir():
             context.setCheckpointDir(found)
         return found.rstrip("/")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="webextract-"))
+        context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
     return context.getCheckpointDir().rstrip("/")
 
 

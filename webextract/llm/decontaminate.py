@@ -14,7 +14,7 @@
    there), then the longest common subsequence with the item, over the item's length.
 
 The benchmark is the stated query set: it is read in blocks of at most block_items items on average (by hash of item_id), as many scans
-as its size needs. Only blocks of it are on the driver and in closures.
+as its size needs. Only the blocks of one scan are on the driver and in closures.
 
 Defined results. Words are in lower case (A-Z), without the marks .,;:!?"()[]. Null or empty texts match nothing; items with fewer than
 min_words words are too short to tell and match nothing. Repeated rows come out repeatedly; null ids come out as such. Empty tables give
@@ -25,14 +25,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from webextract.llm.common import text_of
+from webextract.llm.common import Workspace, cut, text_of
 
 BUCKETS = 1 << 18
 CHUNKS = 64
@@ -324,15 +326,15 @@ def near_windows(buckets: np.ndarray, sizes: np.ndarray, firsts: np.ndarray, wei
             yield doc, item, int(starts[c[i]] - firsts[doc]), int(last[i] - firsts[doc]), float(cosine[i, item])
 
 
-def index(docs: DataFrame, benchmark: DataFrame, limits: Limits) -> tuple[np.ndarray, list[Block]]:
+def groups_of_blocks(docs: DataFrame, benchmark: DataFrame, limits: Limits, blocks_per_scan: int) -> Iterator[tuple[np.ndarray, list[Block]]]:
+    """The words' weights, and the blocks of one scan after another; a group is built when the one before it has been scanned."""
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
     n = items.count()
-    if not n:
-        return np.ones(BUCKETS, dtype=np.float32), []
-    weight = word_weights(docs)
     many = -(-n // limits.block_items)
-    blocks = [index_block(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(many)) == i), weight, limits) for i in range(many)]
-    return weight, [b for b in blocks if b]
+    weight = word_weights(docs) if n else None
+    for first in range(0, many, blocks_per_scan):
+        blocks = [index_block(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(many)) == i), weight, limits) for i in range(first, min(first + blocks_per_scan, many))]
+        yield weight, [b for b in blocks if b]
 
 
 def _scan(docs: DataFrame, weight: np.ndarray, blocks: list[Block], limits: Limits, emit: Callable, schema: str) -> DataFrame:
@@ -352,34 +354,39 @@ def _scan(docs: DataFrame, weight: np.ndarray, blocks: list[Block], limits: Limi
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), blocks_per_scan: int = 8) -> DataFrame:
-    """docs: doc_id, text; benchmark: item_id, text. Returns doc_id, item_id, cosine, lcs, answer for every item found in a document."""
-    weight, blocks = index(docs, benchmark, limits)
-    kinds = [docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, cosine double, lcs double, answer double"
+    """docs: doc_id, text; benchmark: item_id, text. Returns doc_id, item_id, cosine, lcs, answer for every item found in a document. What
+    the scans but the last one find is written before the next group of blocks is built."""
+    fields = {"doc_id": docs.schema["doc_id"].dataType, "item_id": benchmark.schema["item_id"].dataType}
+    schema = ", ".join([*(f"{k} {t.simpleString()}" for k, t in fields.items()), "cosine double", "lcs double", "answer double"])
+    item_type = to_arrow_type(fields["item_id"])
 
     def emit(batch: pa.RecordBatch, hits: list) -> pa.RecordBatch:
         at = [i for i, h in enumerate(hits) for _ in h]
         items = list(zip(*(x for h in hits for x in h))) or [[]] * 4
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(items[0], item_type), *(pa.array(c, pa.float64()) for c in items[1:])], names=["doc_id", "item_id", "cosine", "lcs", "answer"])
 
-    item_type = pa.string() if kinds[1] == "string" else pa.int64() if kinds[1] == "bigint" else pa.int32()
-    source, out = docs.select("doc_id", text_of(docs).alias("text")), None
-    for i in range(0, max(len(blocks), 1), blocks_per_scan):
-        part = _scan(source, weight, blocks[i : i + blocks_per_scan], limits, emit, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    source, found, last = docs.select("doc_id", text_of(docs).alias("text")), [], None
+    for weight, blocks in groups_of_blocks(docs, benchmark, limits, blocks_per_scan):
+        if last is not None:
+            found.append(cut(last))
+        last = _scan(source, weight, blocks, limits, emit, schema)
+    if last is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, [*found, last])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), blocks_per_scan: int = 8) -> DataFrame:
-    """The rows of docs, with all their columns, in which no item is found."""
-    weight, blocks = index(docs, benchmark, limits)
-    names = docs.columns
+    """The rows of docs, with all their columns, in which no item is found. What the scans but the last one leave is written in between."""
+    names, space = docs.columns, Workspace(docs.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def emit(batch: pa.RecordBatch, hits: list) -> pa.RecordBatch:
         clean = batch.filter(pa.array([not h for h in hits], pa.bool_()))
         return pa.RecordBatch.from_arrays(clean.columns[:-1], names=names)
 
-    for i in range(0, len(blocks), blocks_per_scan):
-        docs = _scan(docs.select("*", text_of(docs).alias("__text")), weight, blocks[i : i + blocks_per_scan], limits, emit, schema)
-    return docs
+    every, last = docs, None
+    for i, (weight, blocks) in enumerate(groups_of_blocks(every, benchmark, limits, blocks_per_scan)):
+        if last is not None:
+            docs = space.save(last, f"left{i}")
+        last = _scan(docs.select("*", text_of(docs).alias("__text")), weight, blocks, limits, emit, schema)
+    return docs if last is None else last

@@ -11,7 +11,8 @@ new piece once and the ids are kept in a bounded memory for the next time; whole
 query and the pipeline have it, texts that contain an added token's content go to the library whole, so ids are those of its default settings.
 
 Defined results. A null text is an empty one: only the end id. Documents are in ascending order of doc_id, null doc_ids first, ties in the
-order of their texts' hash. Repeated rows come out repeatedly. An empty table gives an empty one. One document lies in one block.
+order of their texts' hash. Repeated rows come out repeatedly. An empty table gives an empty one. One document lies in one
+block; a block of over 512 MB of bits, more than a checkpoint can tell, raises an error. A doc_id that isn't an integer raises one too.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from webextract.llm.huffman import Coder, code_lengths
 
 BLOCK_IDS = 1 << 18
 #: Words that an encoder remembers; about 200 bytes each. When there are more, those of up to SHORT characters stay, the commoner ones.
-MEMORY, SHORT = 500_000, 8
+MEMORY, SHORT = 700_000, 8
 
 
 def byte_letters() -> dict[int, str]:
@@ -114,7 +115,9 @@ def _encoder(path: str, pattern: str, added: bool) -> PieceEncoder:
 def id_blocks(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, order: list[Column], added: bool) -> DataFrame:
     """part, block, doc_ids, counts, ids: whole documents in the order given, a part for each partition; its block -1 has, as counts, how
     often each id of the vocabulary occurs in it."""
-    kind = docs.schema["doc_id"].dataType
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if kind not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError(f"doc_id is an integer, not {kind}")
     source = docs.select("doc_id", text_of(docs).alias("text"), *(c.alias(f"o{i}") for i, c in enumerate(order)))
     by = [*(F.col(f"o{i}").asc_nulls_first() for i in range(len(order))), F.xxhash64("text")]
     dealt = source.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text")
@@ -152,7 +155,6 @@ def id_blocks(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, order:
             yield flush()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([-1], pa.int32()), pa.array([None], pa.list_(pa.int64())), pa.array([total.tobytes()]), pa.array([None], pa.binary())], names=["part", "block", "doc_ids", "counts", "ids"])
 
-    assert kind.simpleString() in ("bigint", "int", "smallint", "tinyint"), "doc_id is an integer"
     return dealt.mapInArrow(run, "part int, block int, doc_ids array<bigint>, counts binary, ids binary")
 
 
@@ -187,6 +189,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id:
                 row = b.slice(i, 1)
                 ids = np.frombuffer(row.column("ids")[0].as_py(), kind)
                 payload, checkpoints = coder.encode(ids)
+                if len(payload) >= 1 << 29:
+                    raise ValueError("a block has more bits than a checkpoint can tell")
                 out = [*row.columns[:-1], pa.array([len(ids)], pa.int64()), pa.array([checkpoints.astype("<u4").tobytes()]), pa.array([payload])]
                 yield pa.RecordBatch.from_arrays(out, names=["part", "block", "doc_ids", "counts", "n_tokens", "checkpoints", "payload"])
 
