@@ -31,7 +31,7 @@ from webextract.llm.huffman import Coder, code_lengths
 
 BLOCK_IDS = 1 << 18
 #: Words that an encoder remembers; about 200 bytes each. When there are more, those of up to SHORT characters stay, the commoner ones.
-MEMORY, SHORT = 700_000, 8
+MEMORY, SHORT = 600_000, 8
 
 
 def byte_letters() -> dict[int, str]:
@@ -62,9 +62,18 @@ class PieceEncoder:
     def merged(self, piece: str) -> bytes:
         return array(self.kind, [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
+    def learn(self, words: set[str]) -> None:
+        """Remembers words of letters only, of which each is one piece with the space before it; ASCII letters are written as they are."""
+        known, merge, kind, space = self.known, self.merge, self.kind, self.letters[32]
+        for w in words:
+            known[w] = array(kind, [t.id for t in merge(space + w)]).tobytes() if w.isascii() else self.merged(" " + w)
+
     def by_pieces(self, text: str) -> bytes:
+        return self.joined(self.cut(text))
+
+    def joined(self, cut: list[str]) -> bytes:
         out, known, pieces = [], self.known, self.pieces
-        for p in self.cut(text):
+        for p in cut:
             got = known.get(p[1:]) if p[0] == " " else pieces.get(p)
             if got is None:
                 got = self.merged(p)
@@ -90,8 +99,12 @@ class PieceEncoder:
         cut = [(t[:i], t[i + 1 :].split(" ")) if (i := t.find(" ")) >= 0 else (t, []) for t in texts]
         new = set().union(*(words for _, words in cut)).difference(known)
         loose = {w for w in new if not w or w[0].isspace()}  # what stands after a space that doesn't begin a word
-        for w in new - loose:
-            known[w] = self.merged(" " + w) if w.isalpha() else self.by_pieces(" " + w)  # letters are one piece
+        plain = {w for w in new if w.isalpha()}
+        mixed = {w: self.cut(" " + w) for w in new - plain - loose}
+        plain.update(p[1:] for pieces in mixed.values() for p in pieces if p[0] == " " and p[1:].isalpha())
+        self.learn(plain.difference(known))
+        for w, pieces in mixed.items():
+            known[w] = self.joined(pieces)
         out = []
         for text, (first, words) in zip(texts, cut):
             if not words:
