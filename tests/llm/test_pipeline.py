@@ -43,7 +43,7 @@ def test_columns_and_order(stages):
 def test_quality_keeps_good_documents(spark, stages):
     before, after = stages["quality_classifier"]
     # A toxic document is a bad one, whatever its quality.
-    labels = {r.doc_id: None if r.quality == 1 and r.toxic == 1 else r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    labels = {r.doc_id: 0 if r.toxic == 1 else r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     kept = rows(after)
     good = [i for i in rows(before) if labels.get(i) == 1]
     bad = [i for i in rows(before) if labels.get(i) == 0]
