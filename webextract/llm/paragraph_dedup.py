@@ -161,19 +161,21 @@ def repeated_runs(docs: DataFrame, removed: DataFrame, space: Workspace, min_wor
     """
     gone = removed.select(F.col("k").alias("g"), F.col("start").alias("gs"))
     every = space.save(stretches(docs), "stretches")
+    # Rows that are repeated as a whole have the same key; where no line of theirs is removed they come out from their first stretch on.
+    again = every.where("nth = 0").groupBy("k", "doc_id", "start").agg(F.max("tail").alias("stop"), (F.count("*") - 1).alias("copies")).where("copies > 0")
+    again = space.save(again.join(gone.select("g").distinct().hint("merge"), F.col("k") == F.col("g"), "left_anti"), "again")
     left = space.save(every.drop("tail").join(gone.hint("merge"), (every["k"] == gone["g"]) & (every["line"] == gone["gs"]), "left_anti"), "left")
+    space.drop("stretches")
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "k", "nth", "start")
     first = space.save(left.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h", "first"), "first")
     later = space.save(left.join(first.hint("merge"), "h").where(place != F.col("first")).select("k", "doc_id", "nth", "start", "stop", "words", "first"), "later")
+    space.drop("left")
     by = Window.partitionBy("k").orderBy("nth")
     # Neighbours have the same difference of their number in the document and their rank among the repeated ones.
     runs = later.withColumn("run", F.col("nth") - F.row_number().over(by))
     found = runs.groupBy("k", "doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("words"), F.min(F.struct("nth", "first")).alias("f"))
     found = found.where(F.col("words") + SHINGLE >= min_words)
     runs = found.select("k", "doc_id", "start", "stop", F.lit(1).cast("long").alias("copies"), F.col("f.first.doc_id").alias("kept_doc_id"), F.col("f.first.start").alias("kept_start"))
-    # Rows that are repeated as a whole have the same key; where no line of theirs is removed they come out from their first stretch on.
-    again = every.where("nth = 0").groupBy("k", "doc_id", "start").agg(F.max("tail").alias("stop"), (F.count("*") - 1).alias("copies")).where("copies > 0")
-    again = again.join(gone.select("g").distinct().hint("merge"), F.col("k") == F.col("g"), "left_anti")
     return runs.unionByName(again.select("k", "doc_id", "start", "stop", "copies", F.col("doc_id").alias("kept_doc_id"), F.col("start").alias("kept_start")))
 
 
