@@ -214,15 +214,27 @@ def is_important(n: Node, early: bool) -> bool:
 HEADING_CLUTTER = 'a[href*="#"], .anchor, button'
 
 
+def _spoken(heading: Node) -> str:
+    """The text of the first link or anchor put into a heading, in the order of the tree; buttons have none to give."""
+    for n in heading.elements():
+        text = ""
+        if (n.tag == "a" and "#" in n.get("href")) or "anchor" in n.classes():
+            text = n.text().strip()
+        if n.tag in ("span", "div") and (link := first(n, 'a[href^="#"]')) is not None:
+            text = link.text().strip()
+        if text:
+            return text
+    return ""
+
+
 def process_headings(root: Node) -> None:
-    """Headings without the links and buttons put into them; if nothing else is left, the links' text."""
+    """Headings without the links and buttons put into them; if nothing else is left, the first link's text."""
     for h in root.find("h1", "h2", "h3", "h4", "h5", "h6"):
-        clutter = select(h, HEADING_CLUTTER) + [n for n in h.find("span", "div") if first(n, 'a[href^="#"]') is not None]
-        spoken = list(dict.fromkeys(t for n in clutter if (t := n.text().strip())))
-        for n in clutter:
+        spoken = _spoken(h)
+        for n in select(h, HEADING_CLUTTER) + [n for n in h.find("span", "div") if first(n, 'a[href^="#"]') is not None]:
             if n.parent is not None:
                 n.detach()
-        text = h.text().strip() or (spoken[0] if spoken else "")
+        text = h.text().strip() or spoken
         h.attrs = {k: v for k, v in h.attrs.items() if k in ("id", "class")}
         for c in list(h.children):
             c.detach()

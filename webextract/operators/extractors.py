@@ -278,13 +278,12 @@ def _long_date(n: Node | None) -> str:
 def github(tree: Node, url: str, items: list) -> dict | None:
     if not any(first(tree, s) for s in GITHUB_SITE) or not any(first(tree, s) for s in GITHUB_PAGE):
         return None
-    out, plain = [], ""
+    out = []
     issue = first(tree, '[data-testid="issue-viewer-issue-container"]')
     if issue is not None:
         author, when = _github_author(issue, ISSUE_AUTHORS), _long_date(first(issue, "relative-time"))
         body = first(issue, '[data-testid="issue-body-viewer"] .markdown-body')
         if body is not None:
-            plain = body.text().strip()
             out.append(f'<div class="issue-author"><strong>{author}</strong>' + (f" opened this issue on {when}" if when else "") + f'</div>\n\n<div class="issue-body">{_github_body(body)}</div>\n\n')
     seen = set()
     for c in select(tree, "[data-wrapper-timeline-id]"):
@@ -295,13 +294,15 @@ def github(tree: Node, url: str, items: list) -> dict | None:
         seen.add(name)
         when = _long_date(first(box, "relative-time"))
         out.append(f'<div class="comment">\n<div class="comment-header"><strong>{_github_author(box, COMMENT_AUTHORS)}</strong>' + (f" commented on {when}" if when else "") + f'</div>\n<div class="comment-body">{_github_body(body)}</div>\n</div>\n\n')
+    plain = Node("document")
+    plain.set_inner("".join(out))
     title = _text(tree, "title")
     m = re.search(r"github\.com/([^/]+)/([^/]+)", url) or re.search(r"([^/\s]+)/([^/\s]+)", title)
     owner, repo = (m[1], m[2]) if m else ("", "")
     return {
         "content_html": "".join(out),
         "extracted": {"type": "issue", "issueNumber": _found(r"/issues/([0-9]+)", url), "repository": repo, "owner": owner},
-        "variables": {"title": title, "author": "", "site": f"GitHub - {owner}/{repo}", "description": re.sub(r"\s+", " ", plain[:140]).strip()},
+        "variables": {"title": title, "author": "", "site": f"GitHub - {owner}/{repo}", "description": re.sub(r"\s+", " ", plain.text().strip()[:140])},
     }
 
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from typing import Any
 from urllib.parse import urljoin, urlsplit
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
 from webextract.css import first, select
-from webextract.htmltree import Node
+from webextract.htmltree import Node, parse
 
 FIELDS = ("title", "description", "domain", "favicon", "image", "published", "author", "site")
 
@@ -106,6 +110,20 @@ def schema_property(items: Any, path: str) -> str:
     return ", ".join(x for x in found if x)
 
 
+def schema_values(pages: DataFrame, paths: list[str]) -> DataFrame:
+    """pages: page_id, html. Returns page_id, items (JSON, '' without any), types, and the values at each of the paths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [schema_items(parse(html or "")) for html in batch.column(1).to_pylist()]
+            columns = [[json.dumps(i, ensure_ascii=False, sort_keys=True) if i else "" for i in found], [item_types(i) for i in found], [[schema_property(i, p) for p in paths] for i in found]]
+            kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["page_id", "items", "types", "values"])
+
+    source = pages.select("page_id", "html")
+    return source.mapInArrow(run, f"page_id {source.schema['page_id'].dataType.simpleString()}, items string, types array<string>, `values` array<string>")
+
+
 # Chains
 
 

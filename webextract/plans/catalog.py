@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from webextract import constants as C
 from webextract.functions import text as T
 from webextract.operators import conversation, nodes, routing
+from webextract.plans import rendered
 from webextract.plans.extract import extract
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -314,8 +315,8 @@ def host_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | rendered.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | rendered.oracle_sql()
