@@ -7,14 +7,18 @@ table's columns alone. Templates are SQL that Spark and DuckDB read alike, with
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Callable
+from urllib.parse import unquote_plus
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from webextract.operators import elements, metadata
+from webextract.operators import elements, metadata, nodes
 from webextract.options import Options
 from webextract.plans.extract import extract
+from webextract.sources import sinks, web
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -404,6 +408,124 @@ def rendered_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
 
+# Sources and sinks
+
+
+def _served(url: str, client: web.Client) -> web.Response:
+    """A server by the URL alone: its last part is the text of the page, and the one before it how the page is sent."""
+    how, text = url.split("/")[-2:]
+    page = unquote_plus(text)
+    if how == "0":
+        return web.Response(200, url, "text/html; charset=ISO-8859-1", page.encode("cp1252"))
+    if how == "1":
+        return web.Response(200, url + "#end", "text/html", codecs.BOM_UTF16_LE + page.encode("utf-16-le"))
+    if how == "2":
+        return web.Response(200, url, "", b"<meta charset='windows-1252'>" + page.encode("cp1252"))
+    if how == "3":
+        return web.Response(200, url, "text/html", page.encode())
+    return web.Response(404, url, "text/html", b"", "status 404")
+
+
+_HOW = "(conv_id + turn) % 5"
+
+
+@_query(
+    f"""SELECT conv_id * 1000000 + turn AS page_id, CAST(CASE WHEN {_HOW} = 4 THEN 404 ELSE 200 END AS INT) AS fetch_status, CASE WHEN {_HOW} = 4 THEN 'status 404' END AS fetch_error, {_HOW} = 1 AS moved,
+  CASE {_HOW} WHEN 4 THEN '' WHEN 2 THEN '<meta charset=''windows-1252''>' || text ELSE text END AS html FROM conversations"""
+)
+def rendered_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages fetched where the table of URLs lies, from a server that sends each in one of four charsets, moves it, or hasn't got it."""
+    urls = spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr("conv_id * 1000000 + turn AS page_id", f"'https://a.example/' || {_HOW} || '/' || url_encode(text) AS url")
+    got = web.fetch_urls(urls, fetcher=_served)
+    final = web.effective_url(F.lit(""), F.col("url"), F.col("requested_url"))
+    return got.select("page_id", "fetch_status", "fetch_error", (final != F.col("requested_url")).alias("moved"), "html")
+
+
+@_query(
+    f"""SELECT c_custkey AS page_id, c_name AS title, '' AS author, {filled('<p>«c_mktsegment»</p>')} AS content, '1' AS words, '[{{"name":"k","content":"' || CAST(c_nationkey AS STRING) || '"}}]' AS tags, 'null' AS items,
+  {filled('h«c_custkey».example')} AS json_domain, CAST(1 AS BIGINT) AS json_words FROM customer"""
+)
+def rendered_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties by their public names, absent ones null (here: ''), and the record as JSON."""
+    html = filled('<html><head><title>«c_name»</title><meta name="k" content="«c_nationkey»"></head><body><article><p>«c_mktsegment»</p></article></body></html>')
+    results = extract(_rows(spark, sf_dir, "customer", "c_custkey", filled("https://www.h«c_custkey».example/"), html))
+    names = {"title": "TITLE", "author": "author", "content": "Content", "words": "wordCount", "tags": "metaTags", "items": "schemaOrgData"}
+    whole = sinks.to_contract_json(results).select("page_id", F.get_json_object("json", "$.domain").alias("json_domain"), F.get_json_object("json", "$.wordCount").cast("long").alias("json_words"))
+    columns = [F.coalesce(sinks.property_column(n), F.lit("")).alias(c) for c, n in names.items()]
+    return results.select("page_id", *columns).join(whole, "page_id")
+
+
+# Scoring and removal
+
+_WORDS = "repeat('w ', p_size)"
+
+
+@_query(
+    """SELECT p_partkey AS page_id, round(p_size + 3 + 10.0 * (p_partkey % 4) - 5.0 * 2 / (p_size + 3) - 3.0 / (p_size + 3)
+  + CASE p_partkey % 7 WHEN 0 THEN 5 WHEN 1 THEN 10 WHEN 2 THEN 10 WHEN 3 THEN 15 WHEN 4 THEN 10 WHEN 5 THEN 10 ELSE -5 END
+  + CASE p_partkey % 7 WHEN 1 THEN 3 WHEN 2 THEN 3 WHEN 4 THEN 1 WHEN 5 THEN 1 ELSE 0 END
+  + CASE WHEN p_partkey % 7 IN (1, 2) THEN 13.0 / (p_size + 3) - 13.0 / (p_size + 6) WHEN p_partkey % 7 IN (4, 5) THEN 13.0 / (p_size + 3) - CASE p_partkey % 7 WHEN 4 THEN 18.0 ELSE 13.0 END / (p_size + 4) ELSE 0 END, 6) AS score FROM part"""
+)
+def rendered_block_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term of a block's score: words, paragraphs, links, images, the right side, dates, bylines, classes, notes and tables."""
+    special = by_case("p_partkey", "", " Jan 5, 2024", " by Ann Lee", "", ' <sup class="reference"><a>1</a></sup>', ' <ol class="references"><li>n</li></ol>', "<table></table>")
+    look = by_case("p_partkey", 'align="right"', "", "", 'class="Article-x"', "", "", "")
+    block = f"<section «{look}»>«{_WORDS}» <a>b</a> <a>c</a> <img src=\"/i.png\">«{special}» d«repeat('<p></p>', CAST(p_partkey % 4 AS INT))»</section>"
+    found = nodes.score_blocks(nodes.parse_nodes(_rows(spark, sf_dir, "part", "p_partkey", "''", filled("<body>" + block + "</body>"))))
+    return found.selectExpr("page_id", "round(score, 6) AS score")
+
+
+_MAIN = "<p>one «p_name»</p><p>two «p_size»</p><p>three</p><p>four</p><p>five «p_type»</p><p>six</p>"
+
+
+@_query(
+    f"""SELECT p_partkey AS page_id, {filled(_MAIN)} AS content, CASE p_partkey % 5 WHEN 0 THEN 'table_cell' WHEN 1 THEN 'scored_block' WHEN 2 THEN '.post-content' WHEN 3 THEN '[role="main"]' ELSE 'body' END AS found FROM part"""
+)
+def rendered_main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main content by entry points in their order, whatever the order in the page."""
+    html = by_case(
+        "p_partkey",
+        f'<body><table width="500"><tr><td>left</td><td>{_MAIN}</td><td>right</td></tr></table></body>',
+        f'<body><div>short</div><div>{_MAIN}</div></body>',
+        f'<body><main>other</main><div class="post-content">{_MAIN}</div><div id="other">x</div></body>',
+        f'<body><div>x</div><div role="main">{_MAIN}</div></body>',
+        f"<body>{_MAIN}</body>",
+    )
+    return extract(_rows(spark, sf_dir, "part", "p_partkey", "''", html), Options(debug=True)).selectExpr("page_id", "content", "debug_info.main_content AS found")
+
+
+@_query(
+    """SELECT p_partkey AS page_id, CASE p_partkey % 6 WHEN 0 THEN 'hidden ' WHEN 1 THEN 'exact .ad:not([class*="gradient"])' WHEN 2 THEN 'partial ' WHEN 3 THEN 'small_image |small_image ' WHEN 4 THEN 'score |score ' ELSE 'hidden ' END AS removed, '<p>' || p_name || '</p>' AS content FROM part"""
+)
+def rendered_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is taken out of the content and why: hidden, by exact and partial selectors, small images with their larger copies, by score (the short article too, whose
+    content stays as it is the main one), by the caller's styles."""
+    clutter = (
+        '<p style="display:none">x</p>',
+        '<p class="ad">x</p>',
+        '<p class="my-newsletter-box">x</p>',
+        '<img src="/a.png" width="«p_partkey % 30 + 1»"><img src="/a.png" width="900">',
+        '<div><a href="/a">read more</a> <a href="/b">share</a> <a href="/c">comments</a></div>',
+        '<p class="aa">x</p>',
+    )
+    html = by_case("p_partkey", *(f"<body><article><p>«p_name»</p>{c}</article></body>" for c in clutter))
+    options = Options(debug=True, partial_patterns=("newsletter",), mobile_styles=((".aa", "display: none"),))
+    return extract(_rows(spark, sf_dir, "part", "p_partkey", "''", html), options).selectExpr("page_id", "array_join(transform(debug_info.removed, r -> r.reason || ' ' || r.selector), '|') AS removed", "content")
+
+
+def _own_site(tree, url: str, items: list) -> dict:
+    return {"content_html": "<p>own</p>", "extracted": {}, "variables": {"title": url.rsplit("/", 1)[-1], "site": "Own"}}
+
+
+@_query(
+    f"""SELECT c_custkey AS page_id, CASE WHEN c_custkey % 2 = 0 THEN 'own' END AS extractor_type, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS STRING) ELSE c_name END AS title, CASE WHEN c_custkey % 2 = 0 THEN '<p>own</p>' ELSE {filled('<p>«c_mktsegment»</p>')} END AS content FROM customer"""
+)
+def rendered_own_extractor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's extractor for a site, images left out elsewhere."""
+    url = by_case("c_custkey", "https://own.example/«c_custkey»", "https://else.example/«c_custkey»")
+    html = filled('<title>«c_name»</title><body><article><p>«c_mktsegment»</p><picture><img src="/big.png"></picture></article></body>')
+    return extract(_rows(spark, sf_dir, "customer", "c_custkey", url, html), Options(extractors=(("own", ("own.example",), _own_site),), remove_images=True)).select("page_id", "extractor_type", "title", "content")
+
 
 # The whole way
 
