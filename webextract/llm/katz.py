@@ -15,9 +15,8 @@ empty text has just the end token. Training documents are those whose crc32 of d
 empty text. Repeated rows come out repeatedly. Without training documents all counts are zero and the unknown word has probability one.
 An empty table gives an empty one. A word unseen in training counts as the unknown word.
 
-Words have hashes of 64 bits: for a billion different ones the chance of any equal pair is under three in a hundred. N-grams of two words
-and more have as many bits as make the chance of an n-gram to share its hash with any other at most 2**-21 (48 bits up to 134 million
-tokens, 64 from 34 billion on); such two would be counted as one.
+Words and n-grams have hashes of 64 bits at any size: for a billion different ones the chance of any equal pair is under three in a
+hundred; such two would be counted as one.
 """
 
 from __future__ import annotations
@@ -97,8 +96,7 @@ def batches(docs: DataFrame, batch_tokens: int) -> DataFrame:
 class Batch:
     """One batch's tokens and the hashes of their n-grams."""
 
-    def __init__(self, row: dict, mask: int) -> None:
-        self.mask = np.uint64(mask)
+    def __init__(self, row: dict) -> None:
         self.number, self.doc_ids = row["batch"], row["doc_ids"]
         self.lengths = np.frombuffer(row["lengths"], np.int64)
         self.held = np.frombuffer(row["held"], np.uint8).astype(bool)
@@ -115,13 +113,13 @@ class Batch:
         out[1:] = before[:-1]
         start = np.array([START])
         for _ in range(order - 2):
-            start = join_hash(start, np.array([START])) & self.mask
+            start = join_hash(start, np.array([START]))
         out[self.first] = start
         return out
 
     def grams(self, order: int) -> np.ndarray:
         if order not in self._grams:
-            self._grams[order] = join_hash(self.history(order), self._grams[1]) & self.mask
+            self._grams[order] = join_hash(self.history(order), self._grams[1])
         return self._grams[order]
 
 
@@ -131,13 +129,26 @@ def _sliced(keys: np.ndarray, bits: int) -> list[tuple[int, slice]]:
     return [(i, slice(a, b)) for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if b > a]
 
 
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Numbers byte by byte of equal weight, compressed: high bytes are mostly alike."""
+    return _ZIP.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
+
+
+def unpack(packed: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(_UNZIP.decompress(packed), np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Differences of sorted keys, byte by byte of equal weight: the high bytes are mostly zero and compress away."""
-    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Differences of sorted keys."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
 
 
 def unpack_keys(packed: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).reshape(-1).view(np.uint64), dtype=np.uint64)
+    return np.cumsum(unpack(packed, np.uint64), dtype=np.uint64)
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -149,18 +160,18 @@ REQUEST = "batch bigint, `order` int, bucket int, keys binary, a binary, b binar
 _ANSWER = pa.schema([("batch", pa.int64()), ("order", pa.int32()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 
 
-def count_requests(packed: DataFrame, order: int, bits: int, mask: int) -> DataFrame:
+def count_requests(packed: DataFrame, order: int, bits: int) -> DataFrame:
     """Of each batch and order the different n-grams, and their counts in training documents (a)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for i in range(len(part)):
-                batch = Batch(part.slice(i, 1).to_pylist()[0], mask)
+                batch = Batch(part.slice(i, 1).to_pylist()[0])
                 for k in range(1, order + 1):
                     keys, at = np.unique(batch.grams(k), return_inverse=True)
                     n = np.bincount(at, weights=batch.train, minlength=len(keys)).astype(np.uint32)
                     for j, s in _sliced(keys, bits):
-                        yield _rows([(batch.number, k, j, pack_keys(keys[s]), n[s].tobytes(), None, None)], _REQUEST)
+                        yield _rows([(batch.number, k, j, pack_keys(keys[s]), pack(n[s]), None, None)], _REQUEST)
 
     return packed.mapInArrow(run, REQUEST)
 
@@ -178,17 +189,17 @@ def answer_counts(table: pa.Table) -> pa.Table:
     order = np.argsort(table.column("batch").to_numpy())
     table = table.take(pa.array(order))
     each, keys, at = _merge(table)
-    mine = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("a")])
+    mine = np.concatenate([unpack(x.as_py(), np.uint32) for x in table.column("a")])
     total = np.bincount(at, weights=mine, minlength=len(keys)).astype(np.int64)
     speaks = np.zeros(len(at), dtype=bool)
     have = np.flatnonzero(mine)
     speaks[have[np.unique(at[have], return_index=True)[1]]] = True
     k, bucket = table.column("order")[0].as_py(), table.column("bucket")[0].as_py()
     seen = total > 0
-    rows, start = [(-1, k, bucket, pack_keys(keys[seen]), total[seen].astype(np.uint32).tobytes())], 0
+    rows, start = [(-1, k, bucket, pack_keys(keys[seen]), pack(total[seen].astype(np.uint32)))], 0
     for number, own in zip(table.column("batch").to_pylist(), each):
         s = slice(start, start + len(own))
-        rows.append((number, k, bucket, total[at[s]].astype(np.uint32).tobytes(), np.packbits(speaks[s]).tobytes()))
+        rows.append((number, k, bucket, pack(total[at[s]].astype(np.uint32)), pack(np.packbits(speaks[s]))))
         start += len(own)
     return pa.Table.from_batches([_rows(rows, _ANSWER)])
 
@@ -197,14 +208,14 @@ def answer_backoff(table: pa.Table) -> pa.Table:
     """Of each history the sums over the words seen after it: counts (a), discounted counts (b), lower-order probabilities (c). The
     answer: the backoff weight (a) and the count to divide by (b), zero for a history without words."""
     each, keys, at = _merge(table)
-    total, kept, lower = (np.bincount(at, weights=np.concatenate([np.frombuffer(x.as_py(), np.float64) for x in table.column(c)]), minlength=len(keys)) for c in "abc")
+    total, kept, lower = (np.bincount(at, weights=np.concatenate([unpack(x.as_py(), np.float64) for x in table.column(c)]), minlength=len(keys)) for c in "abc")
     divisor = np.where(kept >= total - 1e-9 * total, total + 1, total)  # nothing discounted: one more count makes room
     weight = np.where(total > 0, (1 - kept / np.maximum(divisor, 1)) / np.maximum(1 - lower, 1e-12), 1.0)
     divisor = np.where(total > 0, divisor, 0.0)
     rows, start = [], 0
     for number, k, bucket, own in zip(table.column("batch").to_pylist(), table.column("order").to_pylist(), table.column("bucket").to_pylist(), each):
         s = at[start : start + len(own)]
-        rows.append((number, k, bucket, weight[s].tobytes(), divisor[s].tobytes()))
+        rows.append((number, k, bucket, pack(weight[s]), pack(divisor[s])))
         start += len(own)
     return pa.Table.from_batches([_rows(rows, _ANSWER)])
 
@@ -240,17 +251,13 @@ class Scorer:
         for r in answers.to_pylist():
             self.parts.setdefault((r["order"], 0), {})[r["bucket"]] = (r["a"], r["b"])
 
-    def _joined(self, order: int, kinds: tuple) -> tuple[np.ndarray, ...]:
-        found = self.parts[order, 0]
-        return tuple(np.concatenate([read(found[j][i]) for j in sorted(found)]) for i, read in enumerate(kinds))
-
     def counts(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The different n-grams' totals, whether this batch speaks for each, the place of each token's one, and a token of each."""
         keys, first, at = np.unique(self.batch.grams(order), return_index=True, return_inverse=True)
         found, speaks, total = self.parts[order, 0], np.zeros(len(keys), dtype=bool), np.zeros(len(keys))
         for j, s in _sliced(keys, self.bits):
-            total[s] = np.frombuffer(found[j][0], np.uint32)
-            speaks[s] = np.unpackbits(np.frombuffer(found[j][1], np.uint8), count=s.stop - s.start)
+            total[s] = unpack(found[j][0], np.uint32)
+            speaks[s] = np.unpackbits(unpack(found[j][1], np.uint8), count=s.stop - s.start)
         return total, speaks, at, first
 
     def first_order(self) -> tuple[np.ndarray, np.ndarray]:
@@ -278,7 +285,7 @@ class Scorer:
         keys, of = np.unique(self.batch.history(order), return_inverse=True)
         weight, divisor = np.zeros(len(keys)), np.zeros(len(keys))
         for j, s in _sliced(keys, self.bits):
-            weight[s], divisor[s] = (np.frombuffer(x, np.float64) for x in self.parts[-order, 0][j])
+            weight[s], divisor[s] = (unpack(x, np.float64) for x in self.parts[-order, 0][j])
         n, weight, divisor = total[at], weight[of], divisor[of]
         seen = n > 0
         return np.where(seen, n * self.factor(order, n) / np.where(seen, divisor, 1), np.where(divisor > 0, weight * lower, lower))
@@ -292,9 +299,7 @@ def score(docs: DataFrame, order: int = 2, batch_tokens: int = 2_500_000, bucket
     tokens = packed.select("lengths").mapInArrow(_token_counts, "n bigint").agg(F.sum("n")).first()[0] or 0
     bits = max(3, int(np.ceil(np.log2(max(tokens, 1) / bucket_keys))))
 
-    width = 64 if tokens > 1 << 35 else 56 if tokens > 1 << 27 else 48
-    mask = (1 << 64) - (1 << (64 - width))
-    asked = count_requests(packed, order, bits, mask)
+    asked = count_requests(packed, order, bits)
     counted = space.save(asked.groupBy("order", "bucket").applyInArrow(lambda t: answer_counts(t), ANSWER), "counts")
     del asked
     release(docs.sparkSession)
@@ -305,7 +310,7 @@ def score(docs: DataFrame, order: int = 2, batch_tokens: int = 2_500_000, bucket
     def census(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for r in part.to_pylist():
-                n = np.frombuffer(r["b"], np.uint32)
+                n = unpack(r["b"], np.uint32)
                 yield _rows([(r["order"], 0, int(n.sum())), (r["order"], -1, len(n)), *((r["order"], i, int((n == i).sum())) for i in range(1, DISCOUNTED + 2))], pa.schema([("order", pa.int32()), ("what", pa.int32()), ("n", pa.int64())]))
 
     found = {(r["order"], r["what"]): r["n"] for r in tables.select("order", "b").mapInArrow(census, "`order` int, what int, n bigint").groupBy("order", "what").agg(F.sum("n").alias("n")).collect()}
@@ -318,13 +323,13 @@ def score(docs: DataFrame, order: int = 2, batch_tokens: int = 2_500_000, bucket
 
     def ask(k: int):
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            batch = Batch(left.to_pylist()[0], mask)
+            batch = Batch(left.to_pylist()[0])
             scorer = Scorer(batch, right, model, bits)
             p = scorer.first_order()[0]
             for j in range(2, k):
                 p = scorer.higher_order(j, p)
             keys, *sums = scorer.sums(k, p)
-            return pa.Table.from_batches([_rows([(batch.number, -k, j, pack_keys(keys[s]), *(x[s].tobytes() for x in sums)) for j, s in _sliced(keys, bits)], _REQUEST)])
+            return pa.Table.from_batches([_rows([(batch.number, -k, j, pack_keys(keys[s]), *(pack(x[s]) for x in sums)) for j, s in _sliced(keys, bits)], _REQUEST)])
 
         return run
 
@@ -337,7 +342,7 @@ def score(docs: DataFrame, order: int = 2, batch_tokens: int = 2_500_000, bucket
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        batch = Batch(left.to_pylist()[0], mask)
+        batch = Batch(left.to_pylist()[0])
         scorer = Scorer(batch, right, model, bits)
         p, count = scorer.first_order()
         for k in range(2, order + 1):
