@@ -34,7 +34,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score(_table(spark, sf_dir, "documents"))
+    return katz.score(_table(spark, sf_dir, "documents"), order=3)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
