@@ -168,3 +168,27 @@ def test_crowds_are_joined_as_by_all_pairs(spark, monkeypatch, tile, crowd):
     frame = simhash.shingle_sets(spark.createDataFrame(list(enumerate(texts)), "text_hash bigint, text string"), 5)
     got = {r.id: r.root for r in connected_components(simhash.crowd_links(left, frame, 0.8)).collect()}
     assert [got.get(i, i) for i in range(len(texts))] == want
+
+
+def test_longer_keys_begin_as_the_shorter_ones(spark):
+    """Of a bucket with a short key, those with one segment more are the ones that the longer keys give."""
+    data = [([int(x), int(y)],) for x, y in DRAW.integers(-(1 << 63), (1 << 63) - 1, (20, 2))]
+    frame = spark.createDataFrame(data, "fs array<bigint>")
+    for depth in (2, 3):
+        short = frame.select(simhash.F.explode(simhash.ring_buckets("fs", depth)).alias("m"))
+        got = short.select(simhash.F.explode(simhash.longer(simhash.F.col("m.bucket"), simhash.F.col("m.f"), depth)).alias("bucket"), "m.f")
+        want = frame.select(simhash.F.explode(simhash.ring_buckets("fs", depth + 1)).alias("m")).select("m.bucket", "m.f")
+        assert sorted(got.collect()) == sorted(want.collect())
+        assert want.where("bucket < 0").count() == 0
+
+
+def test_unlike_texts_that_share_short_keys_are_no_crowd(spark, monkeypatch):
+    """Very short texts have fingerprints of few bits, many of which share a key of 24 bits; only the near copies are a crowd."""
+    crowds, plain = [], simhash.crowd_links
+    monkeypatch.setattr(simhash, "crowd_links", lambda left, *rest: crowds.append({r.id for r in left.collect()}) or plain(left, *rest))
+    base = prose(60)
+    copies = [base] + [f"{base} {prose(1)}" for _ in range(20)]
+    texts = copies + [f"{a:x} {b:x}" for a, b in DRAW.integers(1 << 40, 1 << 48, (6000, 2)).tolist()]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == {i: 0 if i < len(copies) else i for i in range(len(texts))}
+    assert sum(map(len, crowds)) < 60

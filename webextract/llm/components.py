@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webextract.llm.common import Workspace, cut
@@ -83,19 +83,25 @@ def _pairs(x: DataFrame, y: DataFrame) -> DataFrame:
 
 
 def collisions(members: DataFrame, space: Workspace, name: str = "collisions") -> DataFrame:
-    """members: (bucket, id), every such pair once. Returns (bucket, id, n), n being the ids of the bucket, for buckets with two or more.
+    """members: (bucket, id) and maybe more columns, every such pair once. Returns them and n, the ids of the bucket, for buckets with two or more.
 
     The sizes are partial aggregates, and both sides of the join come from files, so a bucket of a third of all ids is split by Spark.
     """
-    dealt = space.save(members.select("bucket", "id"), f"{name}-members")
+    dealt = space.save(members, f"{name}-members")
     sizes = space.save(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), f"{name}-sizes")
-    return space.save(dealt.join(sizes.hint("merge"), "bucket").select("bucket", "id", "n"), name)
+    met = space.save(dealt.join(sizes.hint("merge"), "bucket").select(*members.columns, "n"), name)
+    space.drop(f"{name}-members")
+    space.drop(f"{name}-sizes")
+    return met
 
 
-def small_pairs(met: DataFrame, large: int) -> DataFrame:
-    """All pairs (a < b) in buckets of up to `large` members."""
+def small_pairs(met: DataFrame, large: int, alike: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """All pairs (a < b) in buckets of up to `large` members; with alike, only those whose columns f are alike, before anything is shuffled."""
     few = met.where(F.col("n") <= large)
-    return _pairs(few, few).where("a < b").select("a", "b").distinct()
+    if alike is None:
+        return _pairs(few, few).where("a < b").select("a", "b").distinct()
+    x, y = few.select("bucket", F.col("id").alias("a"), F.col("f").alias("fa")), few.select("bucket", F.col("id").alias("b"), F.col("f").alias("fb"))
+    return x.join(y.hint("merge"), "bucket").where("a < b").where(alike(F.col("fa"), F.col("fb"))).select("a", "b").distinct()
 
 
 def _main_roots(everyone: DataFrame) -> DataFrame:

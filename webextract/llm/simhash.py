@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webextract.llm.common import Workspace, cut, maybe_among, text_of
+from webextract.llm.common import Workspace, cut, maybe_among, release, text_of
 from webextract.llm.components import bucket_links, collisions, connected_components, small_pairs
 
 SEGMENTS, WIDTH = 4, 16
@@ -101,6 +101,43 @@ def keys(f: Column, depth: int = 2) -> Column:
     return F.array(*out)
 
 
+#: The place of the lane, and of the number of segments, in a bucket of near_duplicates(); below it is a key of keys().
+LANE, DEPTH = 50, 54
+
+
+def ring_buckets(fs: str, depth: int) -> Column:
+    """The buckets of a text's fingerprints, one a lane, with the fingerprint: array of (bucket, f). No bucket is negative."""
+    return F.flatten(F.transform(fs, lambda f, lane: F.transform(keys(f, depth), lambda key: F.struct((F.shiftleft(lane.cast("long"), LANE) + F.lit(depth << DEPTH) + key).alias("bucket"), f.alias("f")))))
+
+
+def longer(bucket: Column, f: Column, depth: int) -> Column:
+    """The buckets with one segment more, of those that begin as this one of ring_buckets() does."""
+    way, bits = F.shiftright(bucket, 40).bitwiseAND(F.lit(0x1FF)), bucket.bitwiseAND(F.lit((1 << 40) - 1))
+    shift = (F.pmod(F.floor(way / 96) + depth, F.lit(SEGMENTS)) * WIDTH).cast("int")
+    segment = F.call_function("shiftrightunsigned", f, shift).bitwiseAND(F.lit(0xFFFF))
+    head, which, out = F.shiftleft(F.shiftright(bucket, LANE) + F.lit(1 << DEPTH - LANE), LANE), way % 96, []
+    for part, width in enumerate(PARTS[depth]):
+        at = sum(PARTS[depth][:part])
+        key = F.shiftleft(bits, width) + F.shiftrightunsigned(segment, at).bitwiseAND(F.lit((1 << width) - 1))
+        out.append(head + F.shiftleft(way - which + which * len(PARTS[depth]) + part, 40) + key)
+    return F.array(*out)
+
+
+def parted(met: DataFrame, space: Workspace, depth: int, large: int) -> DataFrame:
+    """met: (bucket, id, f, n) from collisions() of ring_buckets() and others, which are negative. Ring buckets of more than `large` members are
+    parted by the next segments of their chains, as long as there are any.
+
+    The number of unlike fingerprints that share a short key grows with the square of the corpus; once such buckets are large, they chain most
+    texts into one crowd. Two fingerprints whose chain holds still share a bucket.
+    """
+    crowded = (F.col("bucket") >= 0) & (F.col("n") > large)
+    parts = [met.where(~crowded)]
+    for d in range(depth, SEGMENTS):
+        met = collisions(met.where(crowded).select(F.explode(longer(F.col("bucket"), F.col("f"), d)).alias("bucket"), "id", "f"), space, f"collisions-{d + 1}")
+        parts.append(met if d == SEGMENTS - 1 else met.where(~crowded))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def depth_for(fingerprints: int) -> int:
     """How many segments the keys have, so that unlike fingerprints seldom share one, whatever their number."""
     return 2 + (fingerprints > 1 << 25) + (fingerprints > 1 << 30)
@@ -173,11 +210,14 @@ def near_duplicates(docs: DataFrame, lanes: int = 4, words: int = 5, similarity:
     rows = cut(near_prints(work, lanes, words, minhash))
     texts = cut(rows.groupBy("text_hash").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least"), F.first("fs").alias("fs"), F.first("bands").alias("bands")))
     depth = depth_for(texts.count())
-    ring = F.transform("fs", lambda f, lane: F.transform(keys(f, depth), lambda key: F.xxhash64(lane, key)))
-    members = texts.select(F.explode(F.concat(F.flatten(ring), "bands")).alias("bucket"), F.col("text_hash").alias("id"))
+    # Buckets of samples are negative; under them there is no fingerprint to compare.
+    samples = F.transform(F.array_distinct("bands"), lambda band: F.struct(band.bitwiseOR(F.lit(-1 << 63)).alias("bucket"), F.lit(0).cast("long").alias("f")))
+    members = texts.select(F.explode(F.concat(ring_buckets("fs", depth), samples)).alias("m"), F.col("text_hash").alias("id")).select("m.bucket", "id", "m.f")
 
     space = Workspace(docs.sparkSession)
-    met = collisions(members, space)
+    met = parted(collisions(members, space), space, depth, large=4)
+    release(docs.sparkSession)
+    few = cut(small_pairs(met, 4, within_ring))
 
     def make_sets(ids: DataFrame) -> DataFrame:
         wanted = ids.select(F.col("id").alias("text_hash"))
@@ -190,7 +230,7 @@ def near_duplicates(docs: DataFrame, lanes: int = 4, words: int = 5, similarity:
         return pairs.join(side("a"), "a").join(side("b"), "b").where(ring | F.arrays_overlap("ma", "mb")).select("a", "b")
 
     weights = texts.select(F.col("text_hash").alias("id"), "weight")
-    roots = connected_components(set_links(met, weights, make_sets, similarity, near, large=4))
+    roots = connected_components(set_links(met, weights, make_sets, similarity, near, large=4, few=few))
     classes = cut(texts.join(roots, texts["text_hash"] == roots["id"], "left").select("text_hash", F.coalesce("root", "text_hash").alias("root"), "least"))
     least = cut(classes.groupBy("root").agg(F.min("least").alias("component_id")))
     named = cut(classes.join(least.hint("merge"), "root").select("text_hash", "component_id"))
@@ -236,14 +276,15 @@ def tune_bands(similarity: float, recall: float, rows: int = 3) -> tuple[int, in
 
 
 def set_links(
-    met: DataFrame, weights: DataFrame, make_sets: Callable[[DataFrame], DataFrame], similarity: float, prefilter: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, large: int = 16
+    met: DataFrame, weights: DataFrame, make_sets: Callable[[DataFrame], DataFrame], similarity: float, prefilter: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, large: int = 16, few: DataFrame | None = None
 ) -> DataFrame:
     """Links among the members of buckets whose shingle sets have the similarity or more, by the sets' exact sizes.
 
-    make_sets: from (id) to (text_hash, set), called once with the ids of the pairs that pass the prefilter and of the crowded buckets.
+    make_sets: from (id) to (text_hash, set), called once with the ids of the pairs that pass the prefilter and of the crowded buckets. few: such
+    pairs of the smaller buckets, where the caller has them.
     Crowds that even leaders don't join, of members alike enough to meet and unlike enough not to link, are compared tile by tile.
     """
-    few = cut(prefilter(small_pairs(met, large)))
+    few = cut(prefilter(small_pairs(met, large))) if few is None else few
     ids = few.select(F.col("a").alias("id")).union(few.select("b")).union(met.where(F.col("n") > large).select("id")).distinct()
     sets = make_sets(cut(ids))
 
