@@ -30,3 +30,21 @@ def test_equals_its_sql(spark, tables, name):
     columns = sorted(got.columns)
     want = con.execute(f"SELECT {', '.join(columns)} FROM ({rendered.oracle_sql()[name]})").fetchall()
     assert sorted(map(str, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("name", ["rendered_github", "rendered_main_content", "rendered_markdown", "rendered_standard"])
+def test_a_table_of_one_file_is_extracted_once_by_all_cores(spark, tables, name):
+    got = rendered.queries()[name](spark, tables[0])
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("html, attempts", [("<body><p>a</p></body>", 1), ('<body><div class="my-newsletter-box">b</div><p>a</p></body>', 2)])
+def test_a_page_without_partial_clutter_is_attempted_once(monkeypatch, html, attempts):
+    from webextract.plans import extract
+
+    calls, plain = [], extract._attempt
+    monkeypatch.setattr(extract, "_attempt", lambda *given: calls.append(given) or plain(*given))
+    extract.extract_page(html, "", extract.Options(partial_patterns=("newsletter",)))
+    assert len(calls) == attempts

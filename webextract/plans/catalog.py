@@ -11,7 +11,7 @@ from webextract import constants as C
 from webextract.functions import text as T
 from webextract.operators import conversation, nodes, routing
 from webextract.plans import rendered
-from webextract.plans.extract import extract
+from webextract.plans.extract import extract, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,13 +33,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows of fewer files than there are cores dealt out, as a small file may be one row group, which one task reads; others as they are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    few = rows.rdd.getNumPartitions() <= 4 * cores and len(rows.inputFiles()) < cores
-    return rows.repartition(cores) if few else rows
-
-
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages")
 

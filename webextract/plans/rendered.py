@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from webextract.operators import elements, metadata, nodes
 from webextract.options import Options
-from webextract.plans.extract import extract
+from webextract.plans.extract import extract, spread
 from webextract.sources import sinks, web
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,7 +49,7 @@ ESCAPED = "replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;
 
 
 def _rows(spark: SparkSession, sf_dir: str, table: str, key: str, url: str, html: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(f"{key} AS page_id", f"{url} AS url", f"{html} AS html")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet")).selectExpr(f"{key} AS page_id", f"{url} AS url", f"{html} AS html")
 
 
 def _chats(spark: SparkSession, sf_dir: str, url: str, head: str, piece: str, tail: str) -> DataFrame:
