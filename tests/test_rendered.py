@@ -32,7 +32,7 @@ def test_equals_its_sql(spark, tables, name):
     assert sorted(map(str, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(str, want))
 
 
-@pytest.mark.parametrize("name", ["rendered_github", "rendered_main_content", "rendered_markdown", "rendered_standard"])
+@pytest.mark.parametrize("name", ["rendered_github", "rendered_main_content", "rendered_markdown", "rendered_properties", "rendered_standard"])
 def test_a_table_of_one_file_is_extracted_once_by_all_cores(spark, tables, name):
     got = rendered.queries()[name](spark, tables[0])
     assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

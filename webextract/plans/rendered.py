@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from webextract.operators import elements, metadata, nodes
 from webextract.options import Options
-from webextract.plans.extract import extract, spread
+from webextract.plans.extract import contract_column, extract, spread
 from webextract.sources import sinks, web
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -450,9 +450,10 @@ def rendered_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = filled('<html><head><title>«c_name»</title><meta name="k" content="«c_nationkey»"></head><body><article><p>«c_mktsegment»</p></article></body></html>')
     results = extract(_rows(spark, sf_dir, "customer", "c_custkey", filled("https://www.h«c_custkey».example/"), html))
     names = {"title": "TITLE", "author": "author", "content": "Content", "words": "wordCount", "tags": "metaTags", "items": "schemaOrgData"}
-    whole = sinks.to_contract_json(results).select("page_id", F.get_json_object("json", "$.domain").alias("json_domain"), F.get_json_object("json", "$.wordCount").cast("long").alias("json_words"))
     columns = [F.coalesce(sinks.property_column(n), F.lit("")).alias(c) for c, n in names.items()]
-    return results.select("page_id", *columns).join(whole, "page_id")
+    # From one pass over the pages.
+    whole = results.select("page_id", *columns, contract_column(results).alias("json"))
+    return whole.select("page_id", *names, F.get_json_object("json", "$.domain").alias("json_domain"), F.get_json_object("json", "$.wordCount").cast("long").alias("json_words"))
 
 
 # Scoring and removal
