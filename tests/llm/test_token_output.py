@@ -88,3 +88,19 @@ def test_files_hold_every_document(spark, tmp_path):
 def test_no_documents(spark, tmp_path):
     token_output.write_ids(spark.createDataFrame([], "doc_id bigint, text string"), str(tmp_path / "out"), PATH, PATTERN)
     assert token_output.read_ids(spark, str(tmp_path / "out")).count() == 0
+
+
+def test_lines_and_marks_give_the_library_s_ids():
+    import random
+
+    from tokenizers import Tokenizer
+
+    rnd, whole = random.Random(5), Tokenizer.from_file(PATH)
+    parts = ["a", "foo", "é", "日", "1", "½", " ", "  ", "\n", "\n", "\t", "\r", "\x1f", "\x85", ".", "'s", "'", ",", "!!", "'ll", "\0", "🙂", "\xa0", "ʰ", "_", "&&"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randrange(14))) for _ in range(20_000)] + ["A b.\nC d, e!!\n", "\na", "a \nb", "a\n\n\nb"]
+    encoder = token_output.PieceEncoder(PATH, PATTERN, added=True)
+    for text, packed, want in zip(texts, encoder.encode(texts), whole.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(packed, encoder.type).tolist() == want.ids, ascii(text)
+    calls, encoder.cut = [], lambda text: calls.append(text) or []
+    encoder.encode(["One two, three.\nFour five."])
+    assert calls == []  # words, marks behind them and line breaks need no pattern

@@ -20,6 +20,8 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
+from string import punctuation as MARKS
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from webextract.llm.common import Workspace, text_of
 from webextract.llm.huffman import Coder, code_lengths
 
 BLOCK_IDS = 1 << 18
-#: Words that an encoder remembers; about 200 bytes each. When there are more, those of up to SHORT characters stay, the commoner ones.
+#: Words that an encoder remembers; about 150 bytes each. When there are more, those of up to SHORT characters stay, the commoner ones.
 MEMORY, SHORT = 600_000, 8
 
 
@@ -41,9 +43,11 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(others)) for b in range(256)}
 
 
-class PieceEncoder:
+class PieceEncoder(dict):
     """Ids of texts by pieces. pattern: what the tokenizer's own pre-tokenizer, a byte-level one, cuts by. added: the contents of
-    added tokens in a text are these tokens, else ordinary text."""
+    added tokens in a text are these tokens, else ordinary text.
+
+    It is itself the memory: packed ids of words, which stand without the space before them; a new one is merged when it is looked up."""
 
     def __init__(self, path: str, pattern: str, added: bool = False) -> None:
         import regex
@@ -54,65 +58,79 @@ class PieceEncoder:
         self.type = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.cut = regex.compile(pattern).findall
         self.merge, self.letters, self.kind = self.tokenizer.model.tokenize, byte_letters(), "H" if self.type.itemsize == 2 else "I"
+        self.space = self.letters[32]
         self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values()) if added else ()
-        #: Of words, without the space before them, and of other pieces.
-        self.known: dict[str, bytes] = {}
+        #: Of pieces that no space begins: words that begin a line, marks, white space.
         self.pieces: dict[str, bytes] = {}
+        #: Whether a word was looked up that doesn't begin a piece.
+        self.loose = False
 
     def merged(self, piece: str) -> bytes:
-        return array(self.kind, [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        """Remembers words of letters only, of which each is one piece with the space before it; ASCII letters are written as they are."""
-        known, merge, kind, space = self.known, self.merge, self.kind, self.letters[32]
-        for w in words:
-            known[w] = array(kind, [t.id for t in merge(space + w)]).tobytes() if w.isascii() else self.merged(" " + w)
+        """ASCII letters and marks are written as they are, so only others need the byte letters."""
+        if not (piece.isascii() and piece.isprintable()):
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        elif " " in piece:
+            piece = piece.replace(" ", self.space)
+        return array(self.kind, [t.id for t in self.merge(piece)]).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        got = self.pieces.get(piece)
+        if got is None:
+            got = self.merged(piece)
+            if len(piece) <= SHORT and len(self.pieces) < MEMORY // 10:
+                self.pieces[piece] = got
+        return got
+
+    def __missing__(self, word: str) -> bytes:
+        """What follows a space up to the next one. Letters are one piece with that space; the marks behind them are another one."""
+        if word.isalpha():
+            got = self.merged(" " + word)
+        elif not word or word[0].isspace():
+            self.loose = True  # what the space belongs to depends on what follows; not remembered
+            return b""
+        else:
+            core = word.rstrip(MARKS)
+            if core.isalpha():
+                got = self[core] + self.piece(word[len(core) :])
+            else:
+                got = b"".join([self[p[1:]] if p[0] == " " and p[1:].isalpha() else self.piece(p) for p in self.cut(" " + word)])
+        self[word] = got
+        return got
 
     def by_pieces(self, text: str) -> bytes:
-        return self.joined(self.cut(text))
-
-    def joined(self, cut: list[str]) -> bytes:
-        out, known, pieces = [], self.known, self.pieces
-        for p in cut:
-            got = known.get(p[1:]) if p[0] == " " else pieces.get(p)
-            if got is None:
-                got = self.merged(p)
-                if p[0] != " " and len(p) <= SHORT and len(pieces) < MEMORY // 10:
-                    pieces[p] = got
-            out.append(got)
-        return b"".join(out)
+        return b"".join([self[p[1:]] if p[0] == " " and p[1:].isalpha() else self.piece(p) for p in self.cut(text)])
+
+    def by_words(self, text: str) -> bytes:
+        """The pattern always cuts before a space that a word follows, so a line without other spaces is its words with the spaces before
+        them; and around a line break that has no other white space on either side."""
+        lines = text.split("\n")
+        if len(lines) > 1 and (any(not x or x[-1].isspace() for x in lines[:-1]) or any(x[:1].isspace() for x in lines[1:])):
+            return self.by_pieces(text)
+        out, at = [], self.__getitem__
+        for line in lines:
+            first, *words = line.split(" ")
+            out.append((self.piece if first.isalpha() else self.by_pieces)(first) + b"".join(map(at, words)))
+        if self.loose:
+            self.loose = False
+            return self.by_pieces(text)
+        return out[0] if len(out) == 1 else self.piece("\n").join(out)
+
+    def forget(self, most: int) -> None:
+        """With more words than that, keeps half as many at most: of those of up to SHORT characters, the commoner ones, what came first."""
+        if len(self) > most:
+            kept = list(islice(((w, x) for w, x in self.items() if len(w) <= SHORT), most // 2))
+            self.clear()
+            self.update(kept)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text.
-
-        The pattern always cuts before a space that a word follows, so a text without other spaces is its words with the spaces before them.
-        """
-        if self.added and any(a in t for t in texts for a in self.added):
-            whole = [any(a in t for a in self.added) for t in texts]
-            others = iter(self.encode([t for t, w in zip(texts, whole) if not w]))
-            return [array(self.kind, self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if w else next(others) for t, w in zip(texts, whole)]
-        if len(self.known) > MEMORY:
-            self.known = {p: x for p, x in self.known.items() if len(p) <= SHORT}
-            if len(self.known) > MEMORY // 2:
-                self.known.clear()
-        known = self.known
-        cut = [(t[:i], t[i + 1 :].split(" ")) if (i := t.find(" ")) >= 0 else (t, []) for t in texts]
-        new = set().union(*(words for _, words in cut)).difference(known)
-        loose = {w for w in new if not w or w[0].isspace()}  # what stands after a space that doesn't begin a word
-        plain = {w for w in new if w.isalpha()}
-        mixed = {w: self.cut(" " + w) for w in new - plain - loose}
-        plain.update(p[1:] for pieces in mixed.values() for p in pieces if p[0] == " " and p[1:].isalpha())
-        self.learn(plain.difference(known))
-        for w, pieces in mixed.items():
-            known[w] = self.joined(pieces)
+        """Packed ids of each text."""
         out = []
-        for text, (first, words) in zip(texts, cut):
-            if not words:
-                out.append(self.by_pieces(first))
-            elif loose and not loose.isdisjoint(words):
-                out.append(self.by_pieces(text))
+        for text in texts:
+            self.forget(MEMORY)
+            if self.added and any(a in text for a in self.added):
+                out.append(array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
             else:
-                out.append(self.by_pieces(first) + b"".join(map(known.__getitem__, words)))
+                out.append(self.by_words(text))
         return out
 
 
