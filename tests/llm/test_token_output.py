@@ -90,6 +90,30 @@ def test_no_documents(spark, tmp_path):
     assert token_output.read_ids(spark, str(tmp_path / "out")).count() == 0
 
 
+def test_words_are_forgotten_within_a_call_and_after_a_task(spark, tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(PATH)
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(150_000)]
+    texts = ["x " + " ".join(words[i : i + 50]) + ".\nnext" for i in range(0, 5_000, 50)]
+    monkeypatch.setattr(token_output, "MEMORY", 1_000)
+    encoder = token_output.PieceEncoder(PATH, PATTERN, added=True)
+    for text, packed in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(packed, encoder.type).tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert len(encoder) <= 1_100
+    token_output.write_ids(spark.createDataFrame([(1, " ".join(words))], "doc_id bigint, text string"), str(tmp_path / "out"), PATH, PATTERN)
+
+    def kept(batches):
+        import pyarrow as pa
+
+        from webextract.llm import token_output
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([max((len(getattr(e, "known", e)) for e in token_output._ENCODERS.values()), default=0)], pa.int64())], names=["n"])
+
+    assert max(r.n for r in spark.range(64, numPartitions=64).mapInArrow(kept, "n bigint").collect()) <= 100_000
+
+
 def test_lines_and_marks_give_the_library_s_ids():
     import random
 

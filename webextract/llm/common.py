@@ -6,6 +6,7 @@ clash with the names of an output, are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 import uuid
@@ -72,6 +73,17 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.4)
 
 
+def return_memory() -> None:
+    """In a Python worker: gives the system what the worker's allocators keep of freed memory. Workers go from operator to operator, and all
+    that one ever held otherwise counts for those after it."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, all else unchanged."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webextract.llm.common import Workspace, text_of
+from webextract.llm.common import Workspace, return_memory, text_of
 from webextract.llm.huffman import Coder, code_lengths
 
 BLOCK_IDS = 1 << 18
 #: Words that an encoder remembers; about 150 bytes each. When there are more, those of up to SHORT characters stay, the commoner ones.
-MEMORY, SHORT = 600_000, 8
+MEMORY, SHORT = 400_000, 8
+#: Of these so many at most stay with a worker between its tasks.
+KEPT = 100_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -156,6 +158,7 @@ def id_blocks(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, order:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        return_memory()
         encoder, part, block = _encoder(tokenizer, pattern, added), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype=encoder.type).tobytes()
         ids: list = []
@@ -185,6 +188,9 @@ def id_blocks(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, order:
         if ids:
             yield flush()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([-1], pa.int32()), pa.array([None], pa.list_(pa.int64())), pa.array([total.tobytes()]), pa.array([None], pa.binary())], names=["part", "block", "doc_ids", "counts", "ids"])
+        # The worker serves other operators next.
+        encoder.forget(KEPT)
+        return_memory()
 
     return dealt.mapInArrow(run, "part int, block int, doc_ids array<bigint>, counts binary, ids binary")
 
