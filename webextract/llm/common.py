@@ -11,6 +11,7 @@ import gc
 import time
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(frame: DataFrame) -> DataFrame:
     """The same rows from the shared folder; losing executors doesn't lose them."""
     shared_dir(frame.sparkSession)
-    return frame.checkpoint()
+    out = frame.checkpoint()
+    trim_driver(frame.sparkSession)
+    return out
 
 
 class Workspace:
@@ -45,6 +48,7 @@ class Workspace:
         self.path = f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
         path, fs = self._fs()
         fs.deleteOnExit(path)
+        trim_driver(spark)
 
     def _fs(self, name: str = ""):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
@@ -52,6 +56,7 @@ class Workspace:
 
     def save(self, frame: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         frame.write.option("compression", compression).parquet(f"{self.path}/{name}")
+        trim_driver(self.spark)
         return self.load(name, frame)
 
     def load(self, name: str, like: DataFrame) -> DataFrame:
@@ -73,6 +78,36 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.4)
 
 
+#: Seconds between two calls of trim_driver() that do something, and when the last one did.
+TRIM_EVERY, _trimmed = 2.0, -1e9
+
+
+def trim_driver(spark: SparkSession) -> None:
+    """Has the driver's JVM give the system what its allocator keeps of freed native memory.
+
+    Each plan is compiled anew, on many threads, and each of these leaves its allocator's arena as large as it ever was: hundreds of MB
+    outside the heap after some hundred plans, which no collection of garbage returns. A JVM without this command goes on without it.
+    """
+    global _trimmed
+    if time.monotonic() - _trimmed < TRIM_EVERY:
+        return
+    _trimmed = time.monotonic()
+    jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
+    # By the interface's method, as the server's own class isn't open to reflection.
+    call = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+    try:
+        kinds, given = new_array(jvm.java.lang.Class, len(call)), new_array(jvm.java.lang.Object, len(call))
+        for i, kind in enumerate(call):
+            kinds[i] = jvm.java.lang.Class.forName(kind)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        given[2], given[3] = new_array(jvm.java.lang.Object, 1), new_array(jvm.java.lang.String, 1)
+        given[2][0], given[3][0] = new_array(jvm.java.lang.String, 0), call[3]
+        invoke = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds)
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:
+        pass
+
+
 def return_memory() -> None:
     """In a Python worker: gives the system what the worker's allocators keep of freed memory. Workers go from operator to operator, and all
     that one ever held otherwise counts for those after it."""
